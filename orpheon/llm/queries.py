@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, url_filter
+from . import language_id, license_scan, sentencepiece, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_sentencepiece": sentencepiece.op2_sentencepiece,
+        "op4_language_id": language_id.op4_language_id,
         "op5_url_filter": url_filter.op5_url_filter,
         "op7_license_scan": license_scan.op7_license_scan,
     }
