@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, sentencepiece, url_filter
+from . import decontaminate, language_id, license_scan, lm_scoring, sentencepiece, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_sentencepiece": sentencepiece.op2_sentencepiece,
+        "op3_decontamination": decontaminate.op3_decontamination,
         "op4_language_id": language_id.op4_language_id,
         "op5_url_filter": url_filter.op5_url_filter,
         "op7_license_scan": license_scan.op7_license_scan,
+        "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     }
 
 
