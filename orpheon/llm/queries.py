@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, lm_scoring, media, sentencepiece, url_filter
+from . import decontaminate, language_id, license_scan, lm_scoring, media, near_dedup, sentencepiece, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_media_columns": media.op6_media_columns,
         "op7_license_scan": license_scan.op7_license_scan,
+        "op8_near_duplicates": near_dedup.op8_near_duplicates,
         "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     }
 
