@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, lm_scoring, media, near_dedup, sentencepiece, url_filter
+from . import decontaminate, language_id, license_scan, lm_scoring, media, near_dedup, sentencepiece, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_sentencepiece": sentencepiece.op2_sentencepiece,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_language_id": language_id.op4_language_id,

@@ -12,11 +12,11 @@ the id and url columns are read, so extra columns cannot clash.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import Level, fill, shape
 from .common import LOWER, UPPER, shared_dir, table
 
 #: Fixed rules: (verdict, host and path prefix). A host also fits its subdomains; the longest rule wins.
@@ -54,46 +54,6 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return (nothing, nothing) if rule is None else (rule, verdict)
 
 
-@dataclass
-class Level:
-    """One Bloom filter: its bits, and how many hashes it takes."""
-
-    bits: bytes
-    m: int
-    k: int
-    seed: int
-
-    def passes(self, key: Column) -> Column:
-        found = F.lit(True)
-        for pos in positions(key, self.m, self.k, self.seed):
-            byte = F.conv(F.hex(F.substring(F.lit(self.bits), (F.shiftright(pos, 3) + 1).cast("int"), F.lit(1))), 16, 10)
-            bit = F.pow(F.lit(2), pos % 8).cast("long")
-            found = found & (byte.cast("long").bitwiseAND(bit) > 0)
-        return found
-
-
-def positions(key: Column, m: int, k: int, seed: int) -> list[Column]:
-    first, second = F.xxhash64(key, F.lit(seed)), F.hash(key, F.lit(seed)).cast("long").bitwiseOR(F.lit(1))
-    return [F.pmod(first + second * j, F.lit(m)) for j in range(k)]
-
-
-def shape(n: int, rate: float) -> tuple[int, int]:
-    """Bits (a multiple of 8) and hashes of a filter with n keys and this false-positive rate."""
-    bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
-    return (bits + 7) // 8 * 8, max(1, round(-math.log2(rate)))
-
-
-def build_level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    """The filter is OR-ed together on the executors; the driver gets at most MAX_BITS / 8 bytes."""
-    m, k = shape(n, rate)
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), m, k, seed))).alias("pos"))
-    words = at.groupBy((F.col("pos") / 32).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 32 as int))")).alias("bits"))
-    bits = bytearray((m + 31) // 32 * 4)
-    for row in words.toLocalIterator():
-        bits[row.word * 4 : row.word * 4 + 4] = int(row.bits).to_bytes(4, "little")
-    return Level(bytes(bits), m, k, seed)
-
-
 class Cascade:
     """Exact membership of a listed set within a universe, without a join."""
 
@@ -120,7 +80,7 @@ def build_cascade(universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade | No
         return None
     keep, wrong = universe.where("listed").select("key"), universe.where("not listed").select("key")
     while inside:
-        levels.append(build_level(keep, inside, rate, len(levels)))
+        levels.append(fill(keep, *shape(inside, rate), len(levels)))
         through = wrong.where(levels[-1].passes(F.col("key")))
         keep, wrong, inside, rate = through, keep, through.count(), 0.5
     return Cascade(levels)
