@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, lm_scoring, media, near_dedup, sentencepiece, suffix_dedup, url_filter
+import corpus_pipeline
+
+from . import decontaminate, language_id, license_scan, line_dedup, lm_scoring, media, near_dedup, sentencepiece, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
         "op2_sentencepiece": sentencepiece.op2_sentencepiece,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_language_id": language_id.op4_language_id,
