@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import prefilter
 from .common import bounded_batches, mix, stored, table, text_buffers
 from .graph import components
 
@@ -124,27 +125,35 @@ def candidate_edges(nodes: DataFrame, region: int = REGION) -> DataFrame:
 
     In an order, nodes with an equal prefix stand side by side, so linking each to the smallest of its region
     joins the same nodes as linking neighbours, without a sort."""
-    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("keys"), (t * (4 * MAX_DEPTH) + 1).cast("int"), F.lit(4 * MAX_DEPTH)).alias("key"))))
-    rows = nodes.select("node", trees.alias("t")).select("node", "t.tree", "t.key").withColumn("prefix", F.substring("key", 1, 4 * BASE_DEPTH))
-    least = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    near = rows.join(least, ["tree", "prefix"])
+    spark = nodes.sparkSession
+
+    def key(tree, depth):
+        return F.substring(F.col("keys"), (tree * (4 * MAX_DEPTH) + 1).cast("int"), F.lit(4 * depth))
+
+    trees = F.sequence(F.lit(0), F.lit(TREES - 1))
+    rows = nodes.select("node", F.explode(F.transform(trees, lambda t: F.struct(t.alias("tree"), F.xxhash64(t, key(t, BASE_DEPTH)).alias("prefix")))).alias("t"))
+    rows = rows.select("node", "t.tree", "t.prefix")
+    least = rows.groupBy("prefix").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    near = stored(spark, rows.join(least, "prefix"), "near")
     edges = near.where((F.col("n") <= region) & (F.col("node") != F.col("first"))).select(F.col("node").alias("u"), F.col("first").alias("v"))
-    deep = near.where(F.col("n") > region)
+    deep = near.where(F.col("n") > region).select("node", "tree")
     for depth in range(BASE_DEPTH + 1, MAX_DEPTH + 1):  # a large region goes deeper, until it is small or the order ends
-        prefix = F.substring("key", 1, 4 * depth)
-        size = deep.groupBy("tree", prefix.alias("prefix")).agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-        deep = deep.select("tree", "key", "node", prefix.alias("prefix")).join(size, ["tree", "prefix"])
+        if deep.isEmpty():
+            break
+        rows = deep.join(nodes.select("node", "keys"), "node").select("node", "tree", F.xxhash64("tree", key(F.col("tree"), depth)).alias("prefix"))
+        least = rows.groupBy("prefix").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+        near = stored(spark, rows.join(least, "prefix"), "near")
         done = F.lit(True) if depth == MAX_DEPTH else F.col("n") <= region
-        edges = edges.union(deep.where(done & (F.col("node") != F.col("first"))).select("node", "first"))
-        deep = deep.where(~done)
+        edges = edges.union(near.where(done & (F.col("node") != F.col("first"))).select("node", "first"))
+        deep = near.where(~done).select("node", "tree")
     return edges
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted's columns with `codes`, the shingle set, from the texts of documents (doc_id, text hash) that stand for their nodes."""
-    # A Bloom filter of the wanted ids reaches the scan, so that other texts are not shuffled.
-    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(wanted, "doc_id").select("node", "family", "text")
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    texts = texts.where(prefilter(wanted.select(F.col("doc_id").alias("key"))).passes(F.col("doc_id")))  # else all texts would be shuffled
+    texts = texts.join(wanted, "doc_id").select("node", "family", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, region: int = REGIO
     every = stored(spark, sketch(docs), "sketch")
     nodes = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"))
     nodes = stored(spark, nodes, "nodes")
-    families = components(candidate_edges(nodes, region)).withColumnRenamed("root", "family")
+    families = components(stored(spark, candidate_edges(nodes, region).distinct(), "edges")).withColumnRenamed("root", "family")
     members = stored(spark, nodes.where("doc_id is not null").select("node", "doc_id", "n").join(families, "node"), "members")
     sizes = members.groupBy("family").agg(F.sum("n").alias("size"))
     large = sizes.where(F.col("size") > family).select("family").checkpoint()
