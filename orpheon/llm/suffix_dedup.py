@@ -10,7 +10,7 @@ cw, an interval end that has no value yet gets the length of w, and the expansio
 without a value share `length` bytes or more with their neighbour; such a run is a repeat if its contexts' counts
 add up to two.
 
-An anchor with more than BLOCK bytes of different contexts is not gathered: its windows are dealt out by a
+An anchor with more than CROWD bytes of different contexts is not gathered: its windows are dealt out by a
 128-bit hash of their bytes and counted, which gives the same answer.
 
 Defined results: null and empty texts have no bytes and nothing to remove; texts shorter than `length` keep all.
@@ -34,8 +34,8 @@ from .bloom import prefilter
 from .common import bounded_batches, mix, stored, table, text_buffers
 
 LENGTH, GRAM = 200, 32
-#: Bytes that are suffix-sorted at once.
-BLOCK = 2 << 20
+#: Bytes that are suffix-sorted at once (they fit a core's cache), and bytes of one anchor's contexts that one task takes.
+BLOCK, CROWD = 256 << 10, 2 << 20
 _SPANS = T.ArrayType(T.StructType().add("a", T.IntegerType()).add("b", T.IntegerType()))
 _ARROW_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
@@ -191,8 +191,8 @@ def _spans(found: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"a": a, "b": b} for a, b in row] for row in found], _ARROW_SPANS)
 
 
-def expand_contexts(forms: DataFrame, length: int, block: int) -> DataFrame:
-    """anchor, form, spans of the contexts (anchor, form, n, bytes); an anchor of over `block` bytes gives null spans."""
+def expand_contexts(forms: DataFrame, length: int, block: int, crowd: int) -> DataFrame:
+    """anchor, form, spans of the contexts (anchor, form, n, bytes); an anchor of over `crowd` bytes gives null spans."""
     names = ["anchor", "form", "spans"]
 
     def solved(rows: list[tuple]) -> pa.RecordBatch:
@@ -221,7 +221,7 @@ def expand_contexts(forms: DataFrame, length: int, block: int) -> DataFrame:
                     group, group_size, large = [], 0, False
                 group.append(row if not large else (*row[:3], b""))
                 group_size += len(row[3]) + 1
-                if group_size > block:
+                if group_size > crowd:
                     large = True
                     yield put_off(group[:-1] if len(group) > 1 else [])
                     group = [(*group[-1][:3], b"")]
@@ -254,13 +254,14 @@ def count_windows(forms: DataFrame, length: int) -> DataFrame:
     return rows.join(twice, "window").groupBy("anchor", "form").agg(F.sort_array(F.collect_list(one)).alias("spans"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """doc_id, hash, spans: the byte ranges [a, b) of each text that repeat, not merged; texts without any are absent.
 
     docs: doc_id, hash, text."""
     spark = docs.sparkSession
     every = stored(spark, scan_contexts(docs.select("doc_id", "hash", "text"), length), "contexts")
-    twice = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Stored, so that the join deals both sides anew and a frequent anchor's rows can be split.
+    twice = stored(spark, every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
     some = stored(spark, every.join(twice, "anchor", "left_semi"), "repeated")
     one = F.struct("doc_id", "hash", "first", "last")
     forms = some.groupBy("anchor", "form").agg(F.count("*").alias("n"), F.min(one).alias("of"))
@@ -276,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) ->
 
     pieces = sources.select("asked", "text").mapInArrow(cut, "anchor long, form long, n long, bytes binary")
     pieces = stored(spark, pieces.dropDuplicates(["anchor", "form"]), "pieces")  # equal rows give the same pieces
-    found = stored(spark, expand_contexts(pieces, length, block), "expanded")
+    found = stored(spark, expand_contexts(pieces, length, block, crowd), "expanded")
     late = found.where("spans is null").select("anchor", "form")
     spans = found.where("spans is not null and size(spans) > 0")
     if not late.isEmpty():
@@ -296,12 +297,12 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, crowd: int = CROWD, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed ranges) and, if asked, the kept bytes."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) hash", "text")
-    spans = stored(spark, repeated_spans(docs, length, block), "spans")
+    spans = stored(spark, repeated_spans(docs, length, block, crowd), "spans")
     may = prefilter(spans.select(F.col("hash").alias("key"))).passes(F.col("hash"))
     touched = docs.where(may).alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.hash = s.hash"), "left").select("d.doc_id", "d.text", "s.spans")
     rows = touched.union(docs.where(~may).select("doc_id", "text", F.lit(None).cast(_SPANS)))

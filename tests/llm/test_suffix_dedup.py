@@ -58,7 +58,7 @@ def docs():
     return found
 
 
-@pytest.mark.parametrize("how", [{}, {"block": 3000}])
+@pytest.mark.parametrize("how", [{}, {"block": 3000}, {"block": 3000, "crowd": 3000}])
 def test_equal_to_brute_force(spark, how):
     given = docs()
     frame = spark.createDataFrame([(i, t, "x") for i, t in given], "doc_id long, text string, hash string")
