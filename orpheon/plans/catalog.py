@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from orpheon.plans.registry import Registry, table
+from orpheon.plans import retrieval_queries
+from orpheon.plans.registry import Registry
 
+FLAGSHIP = "retrieval_map_mrr"
 CATALOG = Registry()
-FLAGSHIP = "label_inventory"
-
-
-@CATALOG.query("label_inventory", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
-def label_inventory(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+for part in (retrieval_queries.Q,):
+    for name, builder in part.builders.items():
+        CATALOG.query(name, part.oracles.get(name))(builder)
