@@ -101,7 +101,7 @@ def scan_contexts(docs: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(form.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["anchor", "form", "doc_id", "hash", "first", "last"])
                     start = i + 1
 
-    return docs.mapInArrow(run, "anchor long, form long, doc_id long, hash long, first int, last int")
+    return docs.mapInArrow(run, "anchor long, form long, doc_id long, hash int, first int, last int")
 
 
 def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +207,7 @@ def expand_contexts(forms: DataFrame, length: int, block: int, crowd: int) -> Da
         group: list[tuple] = []
         ready_size = group_size = 0
         large = False
+        forms: set[int] = set()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and row[0] != group[-1][0]:
@@ -218,13 +219,20 @@ def expand_contexts(forms: DataFrame, length: int, block: int, crowd: int) -> Da
                             ready, ready_size = [], 0
                         ready += group
                         ready_size += group_size
-                    group, group_size, large = [], 0, False
-                group.append(row if not large else (*row[:3], b""))
-                group_size += len(row[3]) + 1
-                if group_size > crowd:
-                    large = True
-                    yield put_off(group[:-1] if len(group) > 1 else [])
-                    group = [(*group[-1][:3], b"")]
+                    group, group_size, large, forms = [], 0, False, set()
+                if large:  # neither bytes nor forms are held any more
+                    group.append((*row[:3], b""))
+                    if len(group) > 4096:
+                        yield put_off(group[:-1])
+                        group = group[-1:]
+                elif row[1] not in forms:
+                    forms.add(row[1])
+                    group.append(row)
+                    group_size += len(row[3]) + 1
+                    if group_size > crowd:
+                        large, forms = True, set()
+                        yield put_off(group[:-1])
+                        group = [(*row[:3], b"")]
         if group and large:
             yield put_off(group)
         elif group:
@@ -266,7 +274,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, cr
     one = F.struct("doc_id", "hash", "first", "last")
     forms = some.groupBy("anchor", "form").agg(F.count("*").alias("n"), F.min(one).alias("of"))
     asked = stored(spark, forms.groupBy("of.doc_id", "of.hash").agg(F.collect_list(F.struct("anchor", "form", "n", "of.first", "of.last")).alias("asked")), "asked")
-    texts = docs.where(prefilter(asked.select(F.col("hash").alias("key"))).passes(F.col("hash")))
+    texts = docs.where(prefilter(asked.select(F.xxhash64("doc_id", "hash").alias("key"))).passes(F.xxhash64("doc_id", "hash")))
     sources = texts.join(asked, [texts["doc_id"].eqNullSafe(asked["doc_id"]), texts["hash"] == asked["hash"]]).select("asked", "text", asked["doc_id"], asked["hash"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,12 +284,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, cr
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in ("anchor", "form", "n")] + [pa.array([raw[r["first"] : r["last"] + length] for r in rows], pa.binary())], ["anchor", "form", "n", "bytes"])
 
     pieces = sources.select("asked", "text").mapInArrow(cut, "anchor long, form long, n long, bytes binary")
-    pieces = stored(spark, pieces.dropDuplicates(["anchor", "form"]), "pieces")  # equal rows give the same pieces
+    pieces = stored(spark, pieces, "pieces")  # equal rows of docs give equal pieces
     found = stored(spark, expand_contexts(pieces, length, block, crowd), "expanded")
     late = found.where("spans is null").select("anchor", "form")
     spans = found.where("spans is not null and size(spans) > 0")
     if not late.isEmpty():
-        spans = spans.union(count_windows(pieces.join(late, ["anchor", "form"], "left_semi"), length).select("anchor", "form", "spans"))
+        spans = spans.union(count_windows(pieces.join(late, ["anchor", "form"], "left_semi").dropDuplicates(["anchor", "form"]), length).select("anchor", "form", "spans"))
     places = some.join(spans, ["anchor", "form"]).select("doc_id", "hash", "first", F.explode("spans").alias("s"))
     ranges = places.select("doc_id", "hash", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b") + length).alias("b"))
     return ranges.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -301,9 +309,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, cr
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed ranges) and, if asked, the kept bytes."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) hash", "text")
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "hash(text) hash", "text")  # the hash tells apart texts of one doc_id
     spans = stored(spark, repeated_spans(docs, length, block, crowd), "spans")
-    may = prefilter(spans.select(F.col("hash").alias("key"))).passes(F.col("hash"))
+    may = prefilter(spans.select(F.xxhash64("doc_id", "hash").alias("key"))).passes(F.xxhash64("doc_id", "hash"))
     touched = docs.where(may).alias("d").join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.hash = s.hash"), "left").select("d.doc_id", "d.text", "s.spans")
     rows = touched.union(docs.where(~may).select("doc_id", "text", F.lit(None).cast(_SPANS)))
 
