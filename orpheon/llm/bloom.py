@@ -5,29 +5,35 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A prefilter has at most so many bits. Beyond that many keys it only lets more through; a join decides.
-PREFILTER_BITS = 1 << 25
+PREFILTER_BITS = 1 << 24
 
 
 @dataclass
 class Level:
-    """One Bloom filter: its bits, and how many hashes it takes."""
+    """One Bloom filter: its bits as 64-bit words, and how many hashes it takes."""
 
-    bits: bytes
+    words: np.ndarray
     m: int
     k: int
     seed: int
 
     def passes(self, key: Column) -> Column:
-        found = F.lit(True)
+        """Whether key may be in the filter. The words are a scalar subquery: one value, not repeated in the plan's text."""
+        spark = SparkSession.active()
+        row = pa.table({"words": pa.array([self.words.tolist()], pa.list_(pa.int64()))})
+        words = spark.createDataFrame(row).scalar()
+        found = None
         for pos in positions(key, self.m, self.k, self.seed):
-            byte = F.conv(F.hex(F.substring(F.lit(self.bits), (F.shiftright(pos, 3) + 1).cast("int"), F.lit(1))), 16, 10)
-            bit = F.pow(F.lit(2), pos % 8).cast("long")
-            found = found & (byte.cast("long").bitwiseAND(bit) > 0)
-        return found
+            word = F.get(words, F.shiftright(pos, 6).cast("int"))
+            hit = F.getbit(word, F.pmod(pos, F.lit(64)).cast("int")) == 1
+            found = hit if found is None else found & hit
+        return F.coalesce(found, F.lit(False))
 
 
 def positions(key: Column, m: int, k: int, seed: int) -> list[Column]:
@@ -36,19 +42,18 @@ def positions(key: Column, m: int, k: int, seed: int) -> list[Column]:
 
 
 def shape(n: int, rate: float) -> tuple[int, int]:
-    """Bits (a multiple of 8) and hashes of a filter with n keys and this false-positive rate."""
+    """Bits (a multiple of 64) and hashes of a filter with n keys and this false-positive rate."""
     bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
-    return (bits + 7) // 8 * 8, max(1, round(-math.log2(rate)))
+    return (bits + 63) // 64 * 64, max(1, round(-math.log2(rate)))
 
 
 def fill(keys: DataFrame, m: int, k: int, seed: int = 0) -> Level:
     """A filter of the column `key`, OR-ed together on the executors; the driver gets m / 8 bytes."""
     at = keys.select(F.explode(F.array(*positions(F.col("key"), m, k, seed))).alias("pos"))
-    words = at.groupBy((F.col("pos") / 32).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 32 as int))")).alias("bits"))
-    bits = bytearray((m + 31) // 32 * 4)
-    for row in words.toLocalIterator():
-        bits[row.word * 4 : row.word * 4 + 4] = int(row.bits).to_bytes(4, "little")
-    return Level(bytes(bits), m, k, seed)
+    parts = at.groupBy(F.shiftright("pos", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits")).toArrow()
+    words = np.zeros(m // 64, np.int64)
+    words[parts.column(0).to_numpy()] = parts.column(1).to_numpy()
+    return Level(words, m, k, seed)
 
 
 def prefilter(keys: DataFrame) -> Level:

@@ -8,11 +8,12 @@ A line is cut into edits + 1 even segments. If a line t is within `edits` of a l
 some segment of s stands in t, starting at most a few bytes away from its own place; which places come into
 question follows from the segment's number and the difference in length (multi-match-aware selection). Each line
 is indexed by its segments under its own length, and probes the lengths down to `edits` less with those few
-substrings. Lines that meet under a key are first compared by a signature, 16 counters of bytes by class, which
+substrings. Lines that meet under a key are first compared by a signature, 32 counters of bytes by class, which
 edits can only move a little, and what is left is verified by a banded bit-parallel edit distance.
 
-A key with more than `crowd` lines is dealt out again: 16 counters fall into five sets, of which one at least is
-unchanged between linked lines (2 * edits < 5), so the key is refined by each set's values in turn, with no loss.
+The 32 counters fall into five sets, of which one at least is unchanged between linked lines (2 * edits < 5). So
+the lines of a key are compared within equal values of each set in turn, with no loss; a key with more than
+`crowd` lines is dealt out again by those values, and never held by one task.
 
 Classes are connected components of links; a class's first line is the one with the smallest doc_id, text hash
 and line number. Defined results: null and empty texts have no lines. Rows with equal doc_id and text are one
@@ -35,11 +36,14 @@ from .bloom import prefilter
 from .common import bounded_batches, mix, stored, table
 from .graph import components
 
-EDITS, SHORT, CROWD = 2, 24, 1000
+EDITS, SHORT, CROWD = 2, 24, 100_000
 #: Lines whose keys a task remembers to have emitted.
 SEEN = 500_000
-_CLASS = np.array([int(x) & 15 for x in mix(np.arange(1, 257, dtype=np.uint64))], np.int64)
-_SETS = [(0, 3), (3, 6), (6, 9), (9, 12), (12, 16)]
+#: The letters a to z count each for itself, all other bytes in six classes.
+_CLASS = np.array([c - 97 if 97 <= c <= 122 else 26 + c % 6 for c in range(256)], np.int64)
+#: Lines of one key that are compared each with each.
+FEW = 256
+_SETS = [(0, 7), (7, 13), (13, 20), (20, 26), (26, 32)]
 
 
 def lines_of(text: bytes) -> list[bytes]:
@@ -75,20 +79,23 @@ def plan_of(size: int, edits: int) -> list[tuple[int, int, int]]:
 
 
 def counters(lines: list[bytes]) -> np.ndarray:
-    """16 counters of 4 bits for each line: how many bytes of each class it has, modulo 16."""
+    """32 counters of 2 bits for each line: how many bytes of each class it has, modulo 4."""
     sizes = np.array([len(x) for x in lines], np.int64)
     data = np.frombuffer(b"".join(lines), np.uint8)
-    counts = np.bincount(np.repeat(np.arange(len(lines)), sizes) * 16 + _CLASS[data], minlength=16 * len(lines)).reshape(-1, 16) & 15
-    return (counts.astype(np.uint64) << (4 * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    counts = np.bincount(np.repeat(np.arange(len(lines)), sizes) * 32 + _CLASS[data], minlength=32 * len(lines)).reshape(-1, 32) & 3
+    return (counts.astype(np.uint64) << (2 * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
+_ODD = np.uint64(0x5555555555555555)
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Summed difference of the counters of each a with each b, modulo 16."""
-    total = np.zeros((len(a), len(b)), np.int16)
-    for k in range(16):
-        d = ((a >> np.uint64(4 * k) & np.uint64(15)).astype(np.int16)[:, None] - (b >> np.uint64(4 * k) & np.uint64(15)).astype(np.int16)[None, :]) & 15
-        total += np.minimum(d, 16 - d)
-    return total
+    """Summed difference of the counters of a and b (broadcast together), each modulo 4: 0, 1, 2 or 1 for 0 to 3 up."""
+    # Each pair of bits of a minus its pair of b, modulo 4, without borrows between pairs.
+    high = _ODD << np.uint64(1)
+    d = ((a | high) - (b & _ODD)) ^ ((a ^ ~b) & high)
+    low, top = d & _ODD, d >> np.uint64(1) & _ODD
+    return np.bitwise_count(low) + 2 * np.bitwise_count(top & ~low)
 
 
 def edit_distance(a: bytes, b: bytes, most: int) -> int:
@@ -132,26 +139,38 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
 
 
 def scan_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, no, line (128-bit hash), size of every line that is not empty. docs: doc_id, hash, text."""
+    """For each row its lines that are not empty: doc_id, hash, nos, sizes, lines (128-bit hashes), again (a line that
+    the text had before). docs: doc_id, hash, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, no, line, size = [], [], [], []
-            for i, text in enumerate(batch.column(2).cast(pa.large_binary()).to_pylist()):
+            ends, no, size, line, again = [0], [], [], [], []
+            for text in batch.column(2).cast(pa.large_binary()).to_pylist():
+                before: set[bytes] = set()
                 for k, x in enumerate(lines_of(text) if text else ()):
                     if x:
-                        row.append(i)
+                        h = xxhash.xxh3_128_digest(x)
                         no.append(k)
-                        line.append(xxhash.xxh3_128_digest(x))
                         size.append(len(x))
-            rows = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(no, pa.int32()), pa.array(line, pa.binary()), pa.array(size, pa.int32())], ["doc_id", "hash", "no", "line", "size"])
+                        line.append(h)
+                        again.append(h in before)
+                        before.add(h)
+                ends.append(len(no))
+            ends_ = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends_, pa.array(v, t)) for v, t in ((no, pa.int32()), (size, pa.int32()), (line, pa.binary()), (again, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "hash", "nos", "sizes", "lines", "again"])
+
+    return docs.mapInArrow(run, "doc_id long, hash long, nos array<int>, sizes array<int>, lines array<binary>, again array<boolean>")
+
 
-    return docs.mapInArrow(run, "doc_id long, hash long, no int, line binary, size int")
+def flat(lines: DataFrame) -> DataFrame:
+    """doc_id, hash, no, size, line, again: a row for each line of scan_lines()."""
+    each = F.explode(F.arrays_zip("nos", "sizes", "lines", "again")).alias("x")
+    return lines.select("doc_id", "hash", each).select("doc_id", "hash", F.col("x.nos").alias("no"), F.col("x.sizes").alias("size"), F.col("x.lines").alias("line"), F.col("x.again").alias("again"))
 
 
 def scan_keys(docs: DataFrame, edits: int) -> DataFrame:
-    """key, line (64 bits of its hash), counts: where each different line is found, and where it looks."""
+    """key, line (Spark's xxhash64 of its hash), counts: where each different line is found, and where it looks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -172,68 +191,98 @@ def scan_keys(docs: DataFrame, edits: int) -> DataFrame:
                     plan = plan_of(len(x), edits)
                     keys += [xxhash.xxh3_64_intdigest(x[a:b], s) for s, a, b in plan]
                     n.append(len(plan))
-                ids = np.frombuffer(b"".join(h[:8] for h in hashes[first : first + 4096]), np.int64)
+                ids = np.array([xxhash.xxh64_intdigest(h, 42) for h in hashes[first : first + 4096]], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(counters(part).view(np.int64), n))], ["key", "line", "counts"])
 
     return docs.select("text").mapInArrow(run, "key long, line long, counts long")
 
 
+def _close(line: np.ndarray, marks: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller line, larger line) whose counters are at most `most` apart. line: sorted and distinct."""
+    for first in range(0, len(line), 256):
+        x, y = np.nonzero(_apart(marks[first : first + 256, None], marks[None, first:]) <= most)
+        later = y > x
+        if later.any():
+            yield line[first + x[later]], line[first + y[later]]
+
+
+def _set_values(marks: np.ndarray, low: int, high: int) -> np.ndarray:
+    return marks >> np.uint64(2 * low) & np.uint64((1 << 2 * (high - low)) - 1)
+
+
 def meet(keys: DataFrame, edits: int, crowd: int | None) -> DataFrame:
     """kind, a, b, c: pairs (0, line, line, -) whose counters allow a link; for crowds, refined keys (1, key, line, counts)."""
 
     def rows(kind: int, a, b, c) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c)], ["kind", "a", "b", "c"])
 
+    def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return rows(0, a, b, np.zeros(len(a), np.int64))
+
+    def crowded(key: int, line: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s, (low, high) in enumerate(_SETS):
+            fine = mix(mix(_set_values(marks, low, high) + np.uint64(s << 32)) + np.array([key]).view(np.uint64))
+            yield rows(1, fine.view(np.int64), line, marks.view(np.int64))
+
+    def group(line: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        line, which = np.unique(line, return_index=True)
+        marks = marks[which]
+        if len(line) <= FEW:
+            for a, b in _close(line, marks, 2 * edits):
+                yield found(a, b)
+            return
+        pairs = []
+        for low, high in _SETS:
+            value = _set_values(marks, low, high)
+            order = np.argsort(value, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+                if len(at) > 1:
+                    pairs += [np.stack(p) for p in _close(line[at], marks[at], 2 * edits)]
+        if pairs:
+            a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            yield found(a, b)
+
     def pairs(key: np.ndarray, line: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[begin, len(key)])
         two = begin[size == 2]  # most groups that matter
+        two = two[(line[two] != line[two + 1]) & (_apart(counts[two], counts[two + 1]) <= 2 * edits)] if len(two) else two
         if len(two):
-            two = two[line[two] != line[two + 1]]
-            total = np.zeros(len(two), np.int16)
-            for k in range(16):
-                d = ((counts[two] >> np.uint64(4 * k) & np.uint64(15)).astype(np.int16) - (counts[two + 1] >> np.uint64(4 * k) & np.uint64(15)).astype(np.int16)) & 15
-                total += np.minimum(d, 16 - d)
-            two = two[total <= 2 * edits]
-            if len(two):
-                a, b = line[two], line[two + 1]
-                yield rows(0, np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64))
+            yield found(np.minimum(line[two], line[two + 1]), np.maximum(line[two], line[two + 1]))
         for k in np.flatnonzero(size > 2).tolist():
             at = slice(begin[k], begin[k] + size[k])
-            own, which = np.unique(line[at], return_index=True)
-            if len(own) < 2:
-                continue
-            marks = counts[at][which]
-            if crowd is not None and len(own) > crowd:
-                for s, (low, high) in enumerate(_SETS):
-                    part = marks >> np.uint64(4 * low) & np.uint64((1 << 4 * (high - low)) - 1)
-                    fine = mix(mix(part + np.uint64(s << 32)) + key[at][:1].view(np.uint64))
-                    yield rows(1, fine.view(np.int64), own, marks.view(np.int64))
-                continue
-            for first in range(0, len(own), 512):
-                x, y = np.nonzero(_apart(marks[first : first + 512], marks[first:]) <= 2 * edits)
-                later = y > x
-                if later.any():
-                    a, b = own[first + x[later]], own[first + y[later]]
-                    yield rows(0, a, b, np.zeros(len(a), np.int64))
+            yield from group(line[at], counts[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        crowd_key = None  # rows of a key that turned out a crowd are handed on as they come
         for batch in batches:
-            now = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            now = [np.concatenate([h, c.to_numpy().view(h.dtype)]) for h, c in zip(held, batch.columns, strict=True)]
+            if crowd_key is not None and len(now[0]):
+                same = int(np.searchsorted(now[0], crowd_key, "right"))
+                if same:
+                    yield from crowded(crowd_key, now[1][:same], now[2][:same])
+                now = [x[same:] for x in now]
+            if not len(now[0]):
+                held = now
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))
             if cut:
-                yield from pairs(now[0][:cut], now[1][:cut], now[2][:cut].view(np.uint64))
+                yield from pairs(now[0][:cut], now[1][:cut], now[2][:cut])
             held = [x[cut:] for x in now]
+            if crowd is not None and len(held[0]) > crowd:
+                crowd_key = int(held[0][0])
+                yield from crowded(crowd_key, held[1], held[2])
+                held = [x[:0] for x in held]
         if len(held[0]):
-            yield from pairs(held[0], held[1], held[2].view(np.uint64))
+            yield from pairs(*held)
 
     parts = max(8, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return keys.select("key", "line", "counts").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "kind int, a long, b long, c long")
 
 
 def line_links(docs: DataFrame, lines: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
-    """(u, v) with u < v: different lines within `edits`. docs: doc_id, hash, text; lines: of scan_lines()."""
+    """(u, v) with u < v: different lines within `edits`. docs: doc_id, hash, text; lines: of flat()."""
     if not 0 <= edits <= 2:
         raise ValueError("the counters' five sets allow at most two edits")
     spark = docs.sparkSession
@@ -243,9 +292,10 @@ def line_links(docs: DataFrame, lines: DataFrame, edits: int = EDITS, crowd: int
     pairs = pairs.union(meet(crowds, edits, None).select("a", "b"))
     pairs = stored(spark, pairs.distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    known = lines.where(F.col("size") >= SHORT).groupBy("line").agg(F.min(F.struct("doc_id", "hash", "no")).alias("of")).withColumn("id", _id_of("line"))
-    known = known.join(asked, "id", "left_semi")
-    by_text = stored(spark, known.groupBy("of.doc_id", "of.hash").agg(F.collect_list(F.struct("id", "line", "of.no")).alias("asked")), "asked")
+    asked = stored(spark, asked, "asked")
+    known = lines.where(F.col("size") >= SHORT).withColumn("id", F.xxhash64("line")).where(prefilter(asked.select(F.col("id").alias("key"))).passes(F.col("id")))
+    known = known.groupBy("id", "line").agg(F.min(F.struct("doc_id", "hash", "no")).alias("of")).join(asked, "id", "left_semi")
+    by_text = stored(spark, known.groupBy("of.doc_id", "of.hash").agg(F.collect_list(F.struct("id", "line", "of.no")).alias("asked")), "by_text")
     texts = docs.where(prefilter(by_text.select(F.col("hash").alias("key"))).passes(F.col("hash")))
     sources = texts.alias("d").join(by_text.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.hash = s.hash")).select("s.asked", "d.text")
 
@@ -267,34 +317,29 @@ def line_links(docs: DataFrame, lines: DataFrame, edits: int = EDITS, crowd: int
     return pairs.join(left, "a").join(right, "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "x", "y").mapInArrow(verify, "u binary, v binary").distinct()
 
 
-def _id_of(column: str):
-    """The first eight bytes of a hash as a little-endian long, as numpy reads them."""
-    pieces = [F.expr(f"shiftleft(cast(conv(hex(substring({column}, {k + 1}, 1)), 16, 10) as long), {8 * k})") for k in range(8)]
-    total = pieces[0]
-    for p in pieces[1:]:
-        total = total.bitwiseOR(p)
-    return total
-
-
 def classify(docs: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
-    """doc_id, hash, lines: for each text its lines that are not empty, in order, as (no, size, links, first_doc,
-    first_hash, first_no, docs): how many different lines a line is linked with, where its class stands first,
-    and in how many documents. docs: doc_id, hash, text."""
+    """For each row of docs: doc_id, hash, nos and sizes of its lines that are not empty, and `marked`, those of them
+    whose class has other lines, as (no, size, links, first_doc, first_hash, first_no, docs): how many different
+    lines a line is linked with, where its class stands first, and in how many documents each of the class's
+    different lines stands, added up. docs: doc_id, hash, text."""
     spark = docs.sparkSession
     lines = stored(spark, scan_lines(docs), "lines")
-    links = stored(spark, line_links(docs, lines, edits, crowd), "links")
-    roots = components(links).withColumnRenamed("node", "line")
+    every = flat(lines)
+    links = stored(spark, line_links(docs, every, edits, crowd), "links")
     both = links.select(F.col("u").alias("line")).union(links.select("v")).groupBy("line").agg(F.count("*").alias("links"))
-    linked = roots.join(both, "line", "left")
-    rows = lines.join(linked, "line", "left").select("doc_id", "hash", "no", "size", F.coalesce("root", "line").alias("class"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    rows = stored(spark, rows, "classes")
-    shape = rows.groupBy("class", "doc_id", "hash").agg(F.min("no").alias("no"), F.count("*").alias("n"))
-    shape = shape.groupBy("class").agg(F.min(F.struct("doc_id", "hash", "no")).alias("first"), F.count("*").alias("docs"), F.sum("n").alias("n")).where("n > 1")
-    rows = rows.join(shape.select("class", "first", "docs"), "class", "left")
-    own = F.struct("doc_id", "hash", "no")
-    first = F.when(F.col("first").isNotNull(), F.col("first")).otherwise(own)
-    one = F.struct("no", "size", "links", first["doc_id"].alias("first_doc"), first["hash"].alias("first_hash"), first["no"].alias("first_no"), F.coalesce("docs", F.lit(1).cast("long")).alias("docs"))
-    return rows.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set(one)).alias("lines"))
+    linked = stored(spark, components(links).withColumnRenamed("node", "line").join(both, "line"), "linked")
+    # Lines that no filter stops are joined; all others are their own class.
+    may = prefilter(linked.select(F.col("line").alias("key"))).passes(F.col("line"))
+    columns = ["doc_id", "hash", "no", "size", "again"]
+    rows = every.where(~may).select(*columns, F.col("line").alias("class"), F.lit(0).cast("long").alias("links"))
+    rows = rows.union(every.where(may).join(linked, "line", "left").select(*columns, F.coalesce("root", "line"), F.coalesce("links", F.lit(0))))
+    shape = rows.groupBy("class").agg(F.min(F.struct("doc_id", "hash", "no")).alias("first"), F.count_if(~F.col("again")).alias("docs"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shape = stored(spark, shape, "shape")
+    some = rows.where(prefilter(shape.select(F.col("class").alias("key"))).passes(F.col("class"))).join(shape, "class")
+    one = F.struct("no", "size", "links", F.col("first.doc_id").alias("first_doc"), F.col("first.hash").alias("first_hash"), F.col("first.no").alias("first_no"), "docs")
+    marked = some.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set(one)).alias("marked"))
+    found = lines.select("doc_id", "hash", "nos", "sizes").alias("d").join(marked.alias("m"), F.expr("d.doc_id <=> m.doc_id and d.hash = m.hash"), "left")
+    return found.select("d.doc_id", "d.hash", "d.nos", "d.sizes", F.coalesce("m.marked", F.array().cast(marked.schema["marked"].dataType)).alias("marked"))
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -306,16 +351,15 @@ def line_classes(docs: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> Dat
     class), n_links (links of its lines with different lines) and line_class (the doc_id where each line's class
     stands first)."""
     bounded_batches(docs.sparkSession)
-    docs = prepared(docs)
-    found = classify(docs, edits, crowd)
-    rows = docs.select("doc_id", "hash").alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.hash = f.hash"), "left").select("d.doc_id", "d.hash", F.coalesce("f.lines", F.array().cast(found.schema["lines"].dataType)).alias("lines"))
+    rows = classify(prepared(docs), edits, crowd)
     first = "x -> not (x.first_doc <=> doc_id and x.first_hash = hash and x.first_no = x.no)"
+    rows = rows.withColumn("of", F.map_from_arrays("marked.no", "marked.first_doc"))
     return rows.select(
         "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
-        F.expr(f"cast(size(filter(lines, {first})) as long)").alias("n_repeats"),
-        F.expr("aggregate(lines, 0L, (s, x) -> s + x.links)").alias("n_links"),
-        F.col("lines.first_doc").alias("line_class"),
+        F.size("nos").cast("long").alias("n_lines"),
+        F.expr(f"cast(size(filter(marked, {first})) as long)").alias("n_repeats"),
+        F.expr("aggregate(marked, 0L, (s, x) -> s + x.links)").alias("n_links"),
+        F.expr("transform(nos, no -> if(map_contains_key(of, no), of[no], doc_id))").alias("line_class"),
     )
 
 
@@ -327,7 +371,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOILERPLATE_DOCS, SHARE = 3, 0.3
 
 
-def lines_to_remove(doc_id: int | None, text_hash: int, lines: list[dict]) -> list[int]:
+def lines_to_remove(doc_id: int | None, text_hash: int, sizes: list[int], marked: list[dict]) -> list[int]:
     """Numbers of the lines that the stage takes out of a document.
 
     A line goes if its class has an earlier line in the same document. A line whose class stands first in another
@@ -338,7 +382,7 @@ def lines_to_remove(doc_id: int | None, text_hash: int, lines: list[dict]) -> li
     seen: set[tuple] = set()
     sources: dict[tuple, set[tuple]] = {}
     outside: list[dict] = []
-    for x in lines:
+    for x in marked:
         place = x["first_doc"], x["first_hash"], x["first_no"]
         if place in seen:
             gone.append(x["no"])
@@ -348,7 +392,7 @@ def lines_to_remove(doc_id: int | None, text_hash: int, lines: list[dict]) -> li
             sources.setdefault(place[:2], set()).add(place)
             outside.append(x)
     outside_size = sum(x["size"] for x in outside)
-    if outside and outside_size <= SHARE * sum(x["size"] for x in lines):
+    if outside and outside_size <= SHARE * sum(sizes):
         gone += [x["no"] for x in outside if x["docs"] >= BOILERPLATE_DOCS and len(sources[x["first_doc"], x["first_hash"]]) == 1]
     return sorted(gone)
 
@@ -356,7 +400,7 @@ def lines_to_remove(doc_id: int | None, text_hash: int, lines: list[dict]) -> li
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated lines go (see lines_to_remove); every document stays, n_chars follows the text."""
     bounded_batches(spark)
-    found = classify(prepared(docs))
+    found = classify(prepared(docs)).where("size(marked) > 0").select("doc_id", "hash", "sizes", "marked")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,7 +408,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["of", "hash", "gone"])
             yield out.filter(pa.array([bool(g) for g in gone], pa.bool_()))
 
-    cuts = stored(spark, found.mapInArrow(choose, "of long, hash long, gone array<int>"), "cuts")
+    cuts = stored(spark, found.mapInArrow(choose, "of long, hash long, gone array<int>").dropDuplicates(["of", "hash"]), "cuts")
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
     may = prefilter(cuts.select(F.col("hash").alias("key"))).passes(F.col("hash"))
     joined = rows.where(may).alias("d").join(cuts.alias("c"), F.expr("d.id <=> c.of and d.hash = c.hash"), "left").select("d.doc", "d.text", "c.gone")

@@ -98,7 +98,11 @@ def corpus():
 
 
 @pytest.mark.parametrize("crowd", [1000, 3])
-def test_classes_equal_brute_force(spark, crowd):
+@pytest.mark.parametrize("few", [256, 2])
+def test_classes_equal_brute_force(spark, monkeypatch, crowd, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    monkeypatch.setattr(line_dedup, "bounded_batches", lambda spark: None)
     docs = corpus()
     frame = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, lines int")
     small = [(i, t) for i, t in docs if i != 4]
@@ -150,3 +154,14 @@ def test_whole_table_equals_brute_force_on_a_small_scale(spark):
         assert all(c <= first[x] for c, x in zip(rows[doc_id].line_class, lines, strict=True))
         if rows[doc_id].n_links == 0:
             assert rows[doc_id].line_class == [first[x] for x in lines]
+
+
+def test_counters_move_as_far_as_they_say():
+    import numpy as np
+
+    rng = random.Random(6)
+    lines = [near_words(rng, 40 + k % 9) for k in range(60)]
+    marks = line_dedup.counters(lines)
+    plain = lambda x, y: sum(min((p - q) % 4, (q - p) % 4) for p, q in zip(x, y, strict=True))
+    split = [[int(m) >> 2 * k & 3 for k in range(32)] for m in marks]
+    assert (line_dedup._apart(marks[:, None], marks[None, :]) == np.array([[plain(a, b) for b in split] for a in split])).all()
