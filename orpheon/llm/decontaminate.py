@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, mix, table, text_buffers
 
-Q, EDIT_RATE = 12, 0.05
+Q, EDIT_RATE = 10, 0.08
 BLOCK_BYTES = 8 << 20
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256)], np.uint8)
 _FILTER_BITS = 22
@@ -36,7 +36,7 @@ _ARROW_MATCH = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end"
 
 
 def gram_codes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit code of the Q = 12 bytes from each position."""
+    """A 64-bit code of the Q = 10 bytes from each position."""
     if len(data) < Q:
         return np.zeros(0, np.uint64)
     one = data.astype(np.uint64)
@@ -44,7 +44,7 @@ def gram_codes(data: np.ndarray) -> np.ndarray:
     four = two[:-2] | two[2:] << np.uint64(16)
     eight = four[:-4] | four[4:] << np.uint64(32)
     n = len(data) - Q + 1
-    return mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mix(four[8 : 8 + n]))
+    return mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mix(two[8 : 8 + n]))
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from orpheon.llm import decontaminate, lm_scoring
 
@@ -48,7 +49,7 @@ def test_matches_equal_brute_force(spark):
     docs = []
     for i in range(60):
         item = items[i % 8][1]
-        budget = int(0.05 * len(item))
+        budget = int(decontaminate.EDIT_RATE * len(item))
         inner = edited(item, rng.randrange(0, 2 * budget), rng)
         base = filler[i % 20][:300]
         docs.append((i, base + " " + inner.upper() * (i % 3 == 0) + inner * (i % 3 != 0) + base[::-1]))
@@ -61,7 +62,8 @@ def test_matches_equal_brute_force(spark):
             expected = set()
             for item_id, item in items:
                 if item and text:
-                    e = max(0, min(int(0.05 * len(item)), (len(item) - 12) // 12)) if len(item) >= 12 else 0
+                    q = decontaminate.Q
+                    e = max(0, min(int(decontaminate.EDIT_RATE * len(item)), (len(item) - q) // q)) if len(item) >= q else 0
                     if fewest_edits(fold(item).encode(), fold(text).encode()) <= e:
                         expected.add(item_id)
             assert {m.item_id for m in rows[doc_id]} == expected, doc_id
@@ -130,7 +132,7 @@ def test_scores_equal_brute_force(spark):
     given += [(3, "repeat"), (None, "null id")]
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in given], "doc_id long, text string, score double")
     train = [t or "" for i, t in given if i is None or i % 3 != 2]
-    rows = lm_scoring.score_documents(docs, __import__("pyspark.sql.functions", fromlist=["x"]).expr("coalesce(doc_id % 3 <> 2, true)")).collect()
+    rows = lm_scoring.score_documents(docs, F.expr("coalesce(doc_id % 3 <> 2, true)")).collect()
     lowered = [t.encode().lower() for t in train]
     counts = Counter(w for t in lowered for w in [*t.split(), b""])
     n, v = sum(counts.values()), len(counts)
@@ -148,7 +150,7 @@ def test_scores_equal_brute_force(spark):
 
 def test_rare_words_are_joined(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a a b w{i} w{i // 2}") for i in range(20)], "doc_id long, text string")
-    every = __import__("pyspark.sql.functions", fromlist=["x"]).lit(True)
+    every = F.lit(True)
     full = {r.doc_id: r for r in lm_scoring.score_documents(docs, every).collect()}
     monkeypatch.setattr(lm_scoring, "FREQUENT", 2)
     few = {r.doc_id: r for r in lm_scoring.score_documents(docs, every).collect()}
