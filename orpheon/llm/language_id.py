@@ -30,6 +30,8 @@ from .common import bounded_batches, id_crc, table
 
 #: Bounds of the training sample and of the model.
 DOCS_PER_LANG, WORDS, GRAMS, LONGEST, MAX_LANGS = 4000, 60_000, 20_000, 5, 64
+#: Parts of a language that are ranked apart before its best are ranked together.
+SALTS = 64
 #: A longer run of letters is scored as its first so many letters when it is unseen.
 LONG_WORD = 64
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -79,7 +81,10 @@ def train(docs: DataFrame, docs_per_lang=DOCS_PER_LANG, words=WORDS, grams=GRAMS
     bounded_batches(spark)
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     labelled = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    ids = labelled.select("doc_id", "lang").withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= docs_per_lang).select("doc_id", "lang").distinct()
+    # First within salts of a language, so that a frequent language is not ranked by one task.
+    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
+    ids = labelled.select("doc_id", "lang").withColumn("rk", F.row_number().over(salted)).where(F.col("rk") <= docs_per_lang)
+    ids = ids.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= docs_per_lang).select("doc_id", "lang").distinct()
     sample = labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # at most docs_per_lang x languages ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
