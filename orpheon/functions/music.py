@@ -123,3 +123,37 @@ def frames_to_times(frames: Column, fps: float) -> Column:
 
 def multi_hot(tags: Column, vocabulary: list[str]) -> Column:
     return F.transform(F.array(*(F.lit(v) for v in vocabulary)), lambda t: F.coalesce(F.array_contains(tags, t), F.lit(False)).cast("int"))
+
+
+def chord_of(degree: int, size: int, tonic: int, scale: list[int], suspensions=(), adds=(), omits=(), alterations=(), borrowed=None, applied: int = 0) -> tuple[int, tuple[int, ...]]:
+    """(root pitch class, semitone steps upwards) of a chord in a key, in root position.
+
+    size: 5, 7, 9, ... takes every other degree up to it. The first suspension takes the place of the third; adds of 4
+    and 6 mean 11 and 13; omits drop the third or fifth; alterations are like "b9" or "#5". borrowed: another scale,
+    by name, or its seven offsets. applied: the chord of that degree in the major key of `degree`."""
+    wanted = set(range(1, size + 1, 2))
+    for k, d in enumerate(suspensions):
+        if (k == 0 and 3 not in wanted) or d in wanted:
+            raise ValueError("a suspension does not fit")
+        wanted = (wanted - {3} if k == 0 else wanted) | {d}
+    wanted |= {d + 7 if d in (4, 6) else d for d in adds}
+    if not set(omits) <= (wanted & {3, 5}):
+        raise ValueError("an omitted degree is not there")
+    wanted -= set(omits)
+    moved = {int(x[1:]): -1 if x[0] == "b" else 1 for x in alterations}
+    wanted |= set(moved)
+
+    def offsets(steps: list[int]) -> list[int]:
+        return [sum(steps[:k]) for k in range(7)]
+
+    ladder = list(borrowed) if isinstance(borrowed, list) else offsets(SCALES.get(borrowed, scale))
+    root, base = degree, tonic
+    if applied > 0:
+        root, base, ladder = applied, (tonic + ladder[degree - 1]) % 12, offsets(SCALES["major"])
+
+    def height(d: int) -> int:
+        octave, step = divmod(root + d - 2, 7)
+        return ladder[step] + 12 * octave - (1 if d == 7 and applied == 7 else 0) + moved.get(d, 0)
+
+    pitches = [base + height(d) for d in sorted(wanted)]
+    return pitches[0] % 12, tuple(b - a for a, b in zip(pitches, pitches[1:], strict=False))

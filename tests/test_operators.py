@@ -240,3 +240,48 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.consolidated(stems.limit(1), clips).first().vec == [2.0, 4.0]
     with pytest.raises(Exception, match="no cached clip"):
         readers.consolidated(stems, clips).collect()
+
+
+def test_chords_in_keys():
+    major = music.SCALES["major"]
+    assert music.chord_of(1, 5, 0, major) == (0, (4, 3)) and music.chord_of(5, 7, 0, major) == (7, (4, 3, 3))
+    assert music.chord_of(1, 5, 0, major, suspensions=(4,)) == (0, (5, 2)) and music.chord_of(1, 5, 0, major, adds=(6,)) == (0, (4, 3, 14))
+    assert music.chord_of(1, 5, 0, major, omits=(5,)) == (0, (4,)) and music.chord_of(5, 7, 0, major, alterations=("b9",)) == (7, (4, 3, 3, 3))
+    assert music.chord_of(1, 5, 0, major, borrowed="minor") == (0, (3, 4)) and music.chord_of(5, 7, 0, major, applied=5) == (2, (4, 3, 3))
+    with pytest.raises(ValueError):
+        music.chord_of(1, 5, 0, major, omits=(7,))
+
+
+def test_preparation(spark):
+    from orpheon.operators import prepare
+
+    taken = [(1.0, 2.0), (5.0, 6.5)]
+    for a, b in prepare.free_windows(taken, 20.0, 30, "s"):
+        assert 0 <= a < b <= 20 and all(b <= x or a >= y for x, y in taken)
+    assert prepare.free_windows(taken, 0.5, 5, "s") == [] and prepare.free_windows([], 9, 3, "s") == []
+    assert prepare.selection("1,3-5, 99,x", 6) == [1, 3, 4, 5] and prepare.selection("5-3", 6) == [3, 4, 5]
+    assert prepare.selection("none", 6) == [] and prepare.selection("q", 6) is None and prepare.selection("all", 2) == [1, 2]
+    assert prepare.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+    assert prepare.guard_schedule(None, {"x": 1}) == prepare.guard_schedule(prepare.schedule_hash({"x": 1}), {"x": 1})
+    with pytest.raises(ValueError):
+        prepare.guard_schedule("other", {"x": 1})
+    with pytest.raises(ValueError):
+        prepare.frame_count(10.0, 0.33)
+    fit, rest = prepare.work_disjoint([1, 1, 2, 3, 3], 0.5)
+    assert fit and rest and not fit & rest
+    with pytest.raises(Exception, match="too few"):
+        prepare.require_share(spark.range(2), 100, 0.1).collect()
+    with pytest.raises(Exception, match="not in order"):
+        spark.range(1).select(prepare.sorted_events(F.array(F.lit(2.0), F.lit(1.0)))).collect()
+
+
+def test_audio_arrays(spark):
+    from orpheon.functions import audio
+
+    wave = F.array(F.array(F.lit(1.0), F.lit(3.0)), F.array(F.lit(3.0), F.lit(5.0)))
+    f = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert f(audio.channels(wave, 1, "mix")) == [[2.0, 4.0]] and f(audio.channels(wave, 3)) == [[1.0, 3.0], [3.0, 5.0], [3.0, 5.0]]
+    assert f(audio.crop(wave[0], 3)) == [1.0, 3.0, 0.0]
+    tone = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.sin(k * (2 * math.pi * 8 / 64)))
+    spectrum = np.array(f(audio.spectrogram(tone, 64, 16)))
+    assert (spectrum[3:-3].argmax(axis=1) == 8).all()
