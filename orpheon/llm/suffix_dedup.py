@@ -340,4 +340,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, cr
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("spans")
+
+
+#: The contract in SQL, over all windows in hexadecimal.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 199)) AS i, h FROM d WHERE length(h) >= 400),
+k AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS a, md5(substr(h, 2 * i + 1, 400)) AS b FROM p),
+q AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY a, b) > 1),
+g AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS f FROM q)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, g),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM s),
+u AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || any_value(substr(h, 2 * m + 1)) AS kept FROM t JOIN d USING (doc_id) JOIN (SELECT doc_id, max(b) AS m FROM s GROUP BY doc_id) USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN u USING (doc_id)"""
