@@ -11,14 +11,14 @@ from .common import shared_dir
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest of its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = down.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
     found = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return found.where("u <> v").distinct()
 
@@ -26,7 +26,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the smallest node that can be reached.
 
-    Only labels move, a node's neighbours never meet in one row; each round is checkpointed. Self-loops, repeated
+    Only labels move, a node's neighbours never meet in one row. Each round is checkpointed, and so are its minima: the
+    join then deals both sides anew, and Spark can split the rows of a node with very many neighbours. Self-loops, repeated
     and reversed edges are fine; nulls must not occur."""
     shared_dir(edges.sparkSession)
     own = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
