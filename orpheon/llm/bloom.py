@@ -5,29 +5,27 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 #: A prefilter has at most so many bits. Beyond that many keys it only lets more through; a join decides.
 PREFILTER_BITS = 1 << 24
 
 
 @dataclass
 class Level:
-    """One Bloom filter: its bits as 64-bit words, and how many hashes it takes."""
+    """One Bloom filter: its bits as an array of 64-bit words in a one-row table, and how many hashes it takes."""
 
-    words: np.ndarray
+    bits: DataFrame
     m: int
     k: int
     seed: int
 
     def passes(self, key: Column) -> Column:
-        """Whether key may be in the filter. The words are a scalar subquery: one value, not repeated in the plan's text."""
-        spark = SparkSession.active()
-        row = pa.table({"words": pa.array([self.words.tolist()], pa.list_(pa.int64()))})
-        words = spark.createDataFrame(row).scalar()
+        """Whether key may be in the filter. The words are a scalar subquery: read once, and not part of the plan's text."""
+        words = self.bits.scalar()
         found = None
         for pos in positions(key, self.m, self.k, self.seed):
             word = F.get(words, F.shiftright(pos, 6).cast("int"))
@@ -48,12 +46,14 @@ def shape(n: int, rate: float) -> tuple[int, int]:
 
 
 def fill(keys: DataFrame, m: int, k: int, seed: int = 0) -> Level:
-    """A filter of the column `key`, OR-ed together on the executors; the driver gets m / 8 bytes."""
+    """A filter of the column `key`, OR-ed together by words; the m / 64 words meet in one row, which is checkpointed."""
+    spark = keys.sparkSession
+    shared_dir(spark)
     at = keys.select(F.explode(F.array(*positions(F.col("key"), m, k, seed))).alias("pos"))
-    parts = at.groupBy(F.shiftright("pos", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits")).toArrow()
-    words = np.zeros(m // 64, np.int64)
-    words[parts.column(0).to_numpy()] = parts.column(1).to_numpy()
-    return Level(words, m, k, seed)
+    set_bits = at.groupBy(F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits"))
+    every = spark.range(m // 64).withColumnRenamed("id", "word").join(set_bits, "word", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return Level(every.agg(F.transform(ordered, lambda x: x["bits"]).alias("words")).checkpoint(), m, k, seed)
 
 
 def prefilter(keys: DataFrame) -> Level:
