@@ -375,9 +375,9 @@ def lines_to_remove(doc_id: int | None, text_hash: int, sizes: list[int], marked
     """Numbers of the lines that the stage takes out of a document.
 
     A line goes if its class has an earlier line in the same document. A line whose class stands first in another
-    document goes if at least BOILERPLATE_DOCS documents have the class, no other class of this document stands
-    first in that same document (several would make this a copy, which near-duplicate detection decides on), and
-    such lines make up at most SHARE of the document."""
+    document goes if at least BOILERPLATE_DOCS documents have the class and no other class of this document stands
+    first in that same document (several would make this a copy, which near-duplicate detection decides on), where
+    such lines make up at most SHARE of the document. So a document and its copies lose the same lines."""
     gone: list[int] = []
     seen: set[tuple] = set()
     sources: dict[tuple, set[tuple]] = {}
@@ -391,9 +391,9 @@ def lines_to_remove(doc_id: int | None, text_hash: int, sizes: list[int], marked
         if place[:2] != (doc_id, text_hash):
             sources.setdefault(place[:2], set()).add(place)
             outside.append(x)
-    outside_size = sum(x["size"] for x in outside)
-    if outside and outside_size <= SHARE * sum(sizes):
-        gone += [x["no"] for x in outside if x["docs"] >= BOILERPLATE_DOCS and len(sources[x["first_doc"], x["first_hash"]]) == 1]
+    boilerplate = [x for x in outside if x["docs"] >= BOILERPLATE_DOCS and len(sources[x["first_doc"], x["first_hash"]]) == 1]
+    if sum(x["size"] for x in boilerplate) <= SHARE * sum(sizes):
+        gone += [x["no"] for x in boilerplate]
     return sorted(gone)
 
 
