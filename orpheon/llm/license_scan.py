@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded_batches, table
+from .common import LOWER, UPPER, bounded_batches, table
 
 #: Fixed base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -174,4 +174,27 @@ def license_scan(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(table(spark, sf_dir, "documents")).drop("open")
+
+
+def _oracle() -> str:
+    """The same in SQL over word lists. A tag's expression is taken to be well formed: all its names are labels."""
+
+    def starts(phrase: str) -> str:
+        words = phrase.split()
+        same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+        return f"list_filter(range(1, greatest(len(w) - {len(words) - 2}, 1)), lambda i: {same})"
+
+    base = ", ".join(f"list_transform({starts(p)}, lambda i: {{'at': i - 1, 'label': '{label}'}})" for p, label in BASE.items())
+    more = ", ".join(f"CASE WHEN len({starts(p)}) > 0 THEN ['{label}'] ELSE [] END" for p, label in NOTICES.items())
+    names = r"list_filter(regexp_extract_all(lower(array_to_string(regexp_extract_all(coalesce(text, ''), '(?i)spdx-license-identifier:[ \t]*([^\r\n]*)', 1), ' or ')), '[a-z0-9][a-z0-9.+-]*'), lambda x: x NOT IN ('or', 'and', 'with'))"
+    return rf"""
+WITH d AS (SELECT doc_id, text, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT doc_id, len(w) AS n_words, flatten([{base}]) AS b, flatten([{more}]) AS m, {names} AS t FROM d),
+g AS (SELECT *, list_sort(list_distinct(list_transform(b, lambda x: x.label))) AS bl FROM f),
+h AS (SELECT *, list_sort(list_distinct(list_concat(bl, m, t))) AS al FROM g)
+SELECT doc_id, n_words, len(b) AS n_base, list_min(list_transform(b, lambda x: x.at)) AS first_word, list_max(list_transform(b, lambda x: x.at)) AS last_word,
+array_to_string(bl, ',') AS base_labels, array_to_string(al, ',') AS labels, CASE WHEN len(t) > 0 THEN 1.0 WHEN len(b) > 0 THEN 0.9 WHEN len(al) > 0 THEN 0.7 ELSE 0.0 END::DOUBLE AS score FROM h"""
+
+
+ORACLE = _oracle()

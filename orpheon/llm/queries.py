@@ -24,7 +24,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op5_url_filter": url_filter.ORACLE, "op8_near_duplicates": near_dedup.ORACLE}
+    found = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op5_url_filter": url_filter.ORACLE, "op7_license_scan": license_scan.ORACLE, "op8_near_duplicates": near_dedup.ORACLE}
     if corpus_pipeline.ORACLE_SQL is not None:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
