@@ -64,7 +64,8 @@ def _tiled(queries: DataFrame, gallery: DataFrame, blocks: int, fn, schema: str)
     def both(key, rows: pd.DataFrame) -> pd.DataFrame:
         return fn(key, rows[rows["asks"]], rows[~rows["asks"]])
 
-    return q.unionByName(g, allowMissingColumns=True).groupBy("qb", "gb").applyInPandas(both, schema)
+    # A gallery is limited to its group, so groups never meet in a tile; without groups all rows have the null one.
+    return q.unionByName(g, allowMissingColumns=True).groupBy("grp", "qb", "gb").applyInPandas(both, schema)
 
 
 def relevant_ranks(df: DataFrame, twins: bool = False, within_condition: bool = False, queries: Column | None = None, tile: int = TILE) -> DataFrame:
@@ -189,7 +190,7 @@ def score_histogram(df: DataFrame, bins: int = 50, tile: int = TILE) -> DataFram
 
     Pools: rel (same work, other variation), twin (same work and variation), distractor. Bins split [-1, 1] evenly;
     values outside are clamped and the last bin is closed. Pairs are counted inside the tiles."""
-    df = df.select(*_ITEM)
+    df = df.select(*_ITEM).withColumn("grp", F.lit(None).cast("long"))
     blocks = max(1, math.ceil(df.count() / tile))
 
     def part(key, q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
