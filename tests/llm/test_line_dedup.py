@@ -2,7 +2,6 @@ import random
 
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 from orpheon.llm import line_dedup
 
