@@ -285,3 +285,19 @@ def test_audio_arrays(spark):
     tone = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.sin(k * (2 * math.pi * 8 / 64)))
     spectrum = np.array(f(audio.spectrogram(tone, 64, 16)))
     assert (spectrum[3:-3].argmax(axis=1) == 8).all()
+
+
+def test_patterns_switch_at_bar_ends():
+    three, four = (hmm.BeatModel(20.0, 100, 140, beats=b) for b in (3, 4))
+    both = hmm.PatternModel([three, four], 0.1)
+    to, prev, p = both.transitions.triples()
+    assert np.allclose(np.bincount(prev, weights=p), 1) and both.transitions.n == three.transitions.n + four.transitions.n
+    crossing = both.pattern[to] != both.pattern[prev]
+    assert crossing.any() and (both.positions[to[crossing]] == 0).all()
+    x = np.full((240, 2), 0.02)
+    x[2::10, 0] = 0.8
+    x[2::40] = [0.05, 0.85]
+    path, score = hmm.viterbi(both.transitions, both.column, np.log(both.densities(x)))
+    assert (both.pattern[path[20:-20]] == 1).all() and np.isfinite(score)
+    with pytest.raises(ValueError):
+        hmm.PatternModel([three, four], [[0.5, 0.4], [0.0, 1.0]])
