@@ -66,6 +66,30 @@ def url_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("url is not null and url <> ''").select("id", F.regexp_extract("url", r"(?:v=|youtu\.be/|/embed/)([A-Za-z0-9_-]{11})", 1).alias("video_id"))
 
 
+def piece_table(spark: SparkSession, path: str, columns: tuple[str, ...] = ("title",)) -> DataFrame:
+    """(piece_id, columns) of a CSV with a header, by name; trimmed, rows without an id left out."""
+    rows = spark.read.option("header", "true").csv(path)
+    text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c)
+    return rows.select(text("piece_id"), *(text(c) for c in columns)).where("piece_id <> ''")
+
+
+def piece_splits(spark: SparkSession, path: str, digits: int = 5) -> DataFrame:
+    """(piece_id padded with zeros, split) of a pair table: numbers only, known splits only, one row a piece."""
+    rows = spark.read.option("header", "true").csv(path).select(F.trim("piece_id").try_cast("long").alias("n"), F.trim("split").alias("split"))
+    kept = rows.where("n is not null and split in ('train', 'val', 'test')")
+    return kept.groupBy(F.lpad(F.col("n").cast("string"), digits, "0").alias("piece_id")).agg(F.max("split").alias("split"))
+
+
+def function_annotations(spark: SparkSession, path: str, canonical: dict[str, str]) -> DataFrame:
+    """(file, bar_start, bar_end, label) of JSON files {Function: [{Function, BarRange: [first, last]}]}; entries with an
+    unknown label, another kind of range or an empty one are left out, and so are files that are no JSON."""
+    schema = "Function array<struct<Function:string,BarRange:array<int>>>"
+    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path).select(F.col("_metadata.file_name").alias("file"), F.explode("Function").alias("e"))
+    names = F.create_map(*(F.lit(x) for pair in canonical.items() for x in pair))
+    spans = rows.select("file", F.get("e.BarRange", F.lit(0)).alias("bar_start"), F.get("e.BarRange", F.lit(1)).alias("bar_end"), F.size("e.BarRange").alias("n"), names[F.col("e.Function")].alias("label"))
+    return spans.where("n = 2 and bar_end > bar_start and label is not null").drop("n")
+
+
 def bar_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(piece, bar_start, bar_end, label) of JSON files {piece, segments: [{start, end, label}]}."""
     schema = "piece string, segments array<struct<start:int,end:int,label:string>>"

@@ -301,3 +301,14 @@ def test_patterns_switch_at_bar_ends():
     assert (both.pattern[path[20:-20]] == 1).all() and np.isfinite(score)
     with pytest.raises(ValueError):
         hmm.PatternModel([three, four], [[0.5, 0.4], [0.0, 1.0]])
+
+
+def test_piece_files(spark, tmp_path):
+    (tmp_path / "pieces.csv").write_text("piece_id,url,title\n00001,u, One \n,u,none\n")
+    assert [tuple(r) for r in readers.piece_table(spark, str(tmp_path / "pieces.csv")).collect()] == [("00001", "One")]
+    (tmp_path / "pairs.csv").write_text("piece_id,other,split\n1,x,train\n2,x,junk\nq,x,val\n12,x,test\n12,y,test\n")
+    assert sorted(map(tuple, readers.piece_splits(spark, str(tmp_path / "pairs.csv")).collect())) == [("00001", "train"), ("00012", "test")]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "00001.json").write_text('{"Function": [{"Function": "A", "BarRange": [1, 4]}, {"Function": "?", "BarRange": [5, 8]}, {"Function": "A", "BarRange": [9, 9]}, {"Function": "A", "BarRange": [1]}]}')
+    (tmp_path / "a" / "00002.json").write_text("no json")
+    assert [tuple(r) for r in readers.function_annotations(spark, str(tmp_path / "a"), {"A": "verse"}).collect()] == [("00001.json", 1, 4, "verse")]
