@@ -367,44 +367,96 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_classes(table(spark, sf_dir, "documents"))
 
 
-#: The stage's rules: a line of at least so many documents is boilerplate, where it is no more than this share.
-BOILERPLATE_DOCS, SHARE = 3, 0.3
+#: Two documents are near copies if each has at least this percentage of its bytes in lines that the other has too.
+COPY = 80
 
 
-def lines_to_remove(doc_id: int | None, text_hash: int, sizes: list[int], marked: list[dict]) -> list[int]:
+def _document(doc_id: int | None, text_hash: int) -> tuple:
+    """A document in the order in which classes choose their first line (null ids come first)."""
+    return doc_id is not None, doc_id or 0, text_hash
+
+
+def _place(line: dict) -> tuple:
+    return line["first_doc"], line["first_hash"], line["first_no"]
+
+
+def possible_sources(doc_id: int | None, text_hash: int, sizes: list[int], marked: list[dict]) -> list[tuple]:
+    """The (doc_id, hash) of the documents where classes of this one stand first and of which it may be a near copy:
+    what it shares with a document stands first there or earlier."""
+    shared: dict[tuple, int] = {}
+    for x in marked:
+        shared[x["first_doc"], x["first_hash"]] = shared.get((x["first_doc"], x["first_hash"]), 0) + x["size"]
+    found, upto = [], 0
+    for source in sorted(shared, key=lambda s: _document(*s)):
+        upto += shared[source]
+        if source != (doc_id, text_hash) and 100 * upto >= COPY * sum(sizes):
+            found.append(source)
+    return found
+
+
+def near_copies(sizes: list[int], marked: list[dict], other_sizes: list[int], other_marked: list[dict]) -> bool:
+    mine, theirs = {_place(x) for x in marked}, {_place(x) for x in other_marked}
+    common = sum(x["size"] for x in marked if _place(x) in theirs)
+    other_common = sum(x["size"] for x in other_marked if _place(x) in mine)
+    return 100 * common >= COPY * sum(sizes) and 100 * other_common >= COPY * sum(other_sizes)
+
+
+def lines_to_remove(doc_id: int | None, text_hash: int, sizes: list[int], marked: list[dict], copied: list[tuple] | None = None) -> list[int]:
     """Numbers of the lines that the stage takes out of a document.
 
-    A line goes if its class has an earlier line in the same document. A line whose class stands first in another
-    document goes if at least BOILERPLATE_DOCS documents have the class and no other class of this document stands
-    first in that same document (several would make this a copy, which near-duplicate detection decides on), where
-    such lines make up at most SHARE of the document. So a document and its copies lose the same lines."""
+    A line goes if its class has an earlier line, in the same document or in another one, however many documents or
+    lines share. Only what stands first in a document that this one is a near copy of (`copied`: their doc_id and
+    hash; if not given, all that this document's own lines allow) is left to near-duplicate detection."""
+    if copied is None:
+        copied = possible_sources(doc_id, text_hash, sizes, marked)
     gone: list[int] = []
     seen: set[tuple] = set()
-    sources: dict[tuple, set[tuple]] = {}
-    outside: list[dict] = []
     for x in marked:
-        place = x["first_doc"], x["first_hash"], x["first_no"]
-        if place in seen:
+        place = _place(x)
+        if place in seen or place[:2] != (doc_id, text_hash) and place[:2] not in copied:
             gone.append(x["no"])
-            continue
         seen.add(place)
-        if place[:2] != (doc_id, text_hash):
-            sources.setdefault(place[:2], set()).add(place)
-            outside.append(x)
-    boilerplate = [x for x in outside if x["docs"] >= BOILERPLATE_DOCS and len(sources[x["first_doc"], x["first_hash"]]) == 1]
-    if sum(x["size"] for x in boilerplate) <= SHARE * sum(sizes):
-        gone += [x["no"] for x in boilerplate]
     return sorted(gone)
 
 
+def copies(found: DataFrame) -> DataFrame:
+    """doc_id, hash, copied: the documents that each near copy is a near copy of. found: doc_id, hash, sizes, marked."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, doc, digest = [], [], []
+            for k, row in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                for d, h in possible_sources(*row):
+                    at.append(k)
+                    doc.append(d)
+                    digest.append(h)
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(doc, pa.int64()), pa.array(digest, pa.int64())], ["doc_id", "hash", "sizes", "marked", "of", "of_hash"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [near_copies(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(4, 8)), strict=True)]
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    schema = found.select("doc_id", "hash", "sizes", "marked").schema
+    asked = found.select("doc_id", "hash", "sizes", "marked").dropDuplicates(["doc_id", "hash"]).mapInArrow(ask, schema.add("of", "long").add("of_hash", "long"))
+    sources = found.dropDuplicates(["doc_id", "hash"])
+    both = asked.alias("d").join(sources.alias("s"), F.expr("d.of <=> s.doc_id and d.of_hash = s.hash"))
+    both = both.select("d.doc_id", "d.hash", "d.of", "d.of_hash", "d.sizes", "d.marked", F.col("s.sizes").alias("other_sizes"), F.col("s.marked").alias("other_marked"))
+    kept = both.mapInArrow(compare, "doc_id long, hash long, of long, of_hash long")
+    return kept.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("of", "of_hash")).alias("copied"))
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated lines go (see lines_to_remove); every document stays, n_chars follows the text."""
     bounded_batches(spark)
-    found = classify(prepared(docs)).where("size(marked) > 0").select("doc_id", "hash", "sizes", "marked")
+    found = stored(spark, classify(prepared(docs)).where("size(marked) > 0").select("doc_id", "hash", "sizes", "marked"), "found")
+    copied = F.coalesce("c.copied", F.expr("cast(array() as array<struct<of: bigint, of_hash: bigint>>)"))
+    found = found.alias("f").join(copies(found).alias("c"), F.expr("f.doc_id <=> c.doc_id and f.hash = c.hash"), "left").select("f.doc_id", "f.hash", "f.sizes", "f.marked", copied.alias("copied"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [lines_to_remove(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            gone = [lines_to_remove(*row, [(c["of"], c["of_hash"]) for c in near]) for *row, near in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["of", "hash", "gone"])
             yield out.filter(pa.array([bool(g) for g in gone], pa.bool_()))
 

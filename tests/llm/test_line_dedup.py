@@ -164,3 +164,23 @@ def test_counters_move_as_far_as_they_say():
     plain = lambda x, y: sum(min((p - q) % 4, (q - p) % 4) for p, q in zip(x, y, strict=True))
     split = [[int(m) >> 2 * k & 3 for k in range(32)] for m in marks]
     assert (line_dedup._apart(marks[:, None], marks[None, :]) == np.array([[plain(a, b) for b in split] for a in split])).all()
+
+
+def test_stage_removes_all_repeats_but_near_copies(spark):
+    rng = random.Random(21)
+    own = lambda n: near_words(rng, n).decode().replace("d", rng.choice("efgh")).replace(" ", "x")
+    head, foot, passage = "home | news | sport | weather | login", "all rights reserved by the owners of it", [own(60), own(70)]
+    docs = {i: "\n".join([head, own(150), foot]) for i in range(5)}  # two shared lines in many documents
+    docs |= {10: f"{head}\n{own(20)}\n{foot}", 11: f"{head}\n{foot}"}  # short pages, mostly or all boilerplate
+    docs |= {20: "\n".join([own(200), *passage]), 21: "\n".join([own(200), *passage])}  # lines that two documents share
+    docs |= {30: "\n".join([head, own(90), own(80), foot])}
+    docs |= {31: docs[30], 32: docs[30] + "\nmore", 33: docs[30] + "\n" + docs[20]}  # near copies, and two texts in one
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.line_stage(spark, frame, "").collect()}
+    lines = {i: t.split("\n") for i, t in docs.items()}
+    assert out[0] == lines[0] and out[20] == lines[20]
+    for i in (1, 2, 3, 4, 10):
+        assert out[i] == [lines[i][1]]
+    assert out[11] == [""] and out[33] == [""]
+    assert out[21] == lines[21][:1]
+    assert out[30] == out[31] == lines[30][1:3] and out[32] == [*lines[30][1:3], "more"]
