@@ -21,7 +21,7 @@ Q = Registry()
 
 @Q.query("window_records")
 def window_records(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 50 and event_type <> 'view'")
+    e = table(spark, sf_dir, "events").where("event_type <> 'view'")
     rows = e.select(F.col("user_id").alias("piece"), (F.col("event_id") % 1000 - 2).cast("double").alias("start_sec"), (F.col("event_id") % 1000 + F.col("value") % 3).cast("double").alias("end_sec"), F.col("event_type").alias("letter"), F.lit(1200.0).alias("piece_end"))
     return P.window_records(rows, "piece")
 

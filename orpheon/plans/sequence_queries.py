@@ -14,10 +14,12 @@ Q = Registry()
 FPS = 10.0
 
 
-def _activations(spark, sf_dir, users: int = 40):
-    """A frame for each event: activation = value / 130 within (0.01, 0.99), in the user's order."""
+def _activations(spark, sf_dir, users: int | None = None):
+    """A frame for each event: activation = value / 130 within (0.01, 0.99), in the user's order. users: only ids below it."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").where(F.col("user_id") < users)
+    e = table(spark, sf_dir, "events")
+    if users is not None:
+        e = e.where(F.col("user_id") < users)
     x = F.least(F.greatest(F.col("value") / 130, F.lit(0.01)), F.lit(0.99))
     return e.select(F.col("user_id").alias("key"), (F.row_number().over(w) - 1).cast("long").alias("frame"), x.alias("activation"))
 
@@ -42,7 +44,7 @@ def beat_tracking(spark, sf_dir):
 
 @Q.query("tempo_by_count", "WITH f AS (SELECT user_id, least(greatest(value / 130, 0.01), 0.99) AS a FROM events WHERE user_id < 40) SELECT user_id AS key, round(sum((a >= 0.3)::INT) * 60 / (count(*) / 10.0::DOUBLE), 6) AS bpm FROM f GROUP BY user_id")
 def tempo_by_count(spark, sf_dir):
-    f = _activations(spark, sf_dir)
+    f = _activations(spark, sf_dir, 40)  # as the SQL has it
     return f.groupBy("key").agg(F.round(F.count_if(F.col("activation") >= 0.3) * 60 / (F.count("*") / FPS), 6).alias("bpm"))
 
 
@@ -54,7 +56,7 @@ def tempo_by_spectrum(spark, sf_dir):
 @Q.query("online_beat_tracking")
 def online_beat_tracking(spark, sf_dir):
     """The online tracker over a stream of the events file; frames are numbered by event id."""
-    e = S.read_events(spark, sf_dir).where("user_id < 20")
+    e = S.read_events(spark, sf_dir)
     x = F.least(F.greatest(F.col("value") / 130, F.lit(0.01)), F.lit(0.99))
     frames = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("frame"), x.alias("activation"))
     return S.run_to_table(S.online_beats(frames, FPS, min_bpm=60, max_bpm=200), "append", "orpheon_online_beats")
