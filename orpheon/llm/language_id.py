@@ -32,8 +32,6 @@ from .common import bounded_batches, id_crc, table
 DOCS_PER_LANG, WORDS, GRAMS, LONGEST, MAX_LANGS = 4000, 60_000, 20_000, 5, 64
 #: Parts of a language that are ranked apart before its best are ranked together.
 SALTS = 64
-#: A longer run of letters is scored as its first so many letters when it is unseen.
-LONG_WORD = 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Unseen words that a worker remembers before it starts anew.
 MEMO = 400_000
@@ -44,8 +42,8 @@ def words_of(text: str) -> list[str]:
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    padded = f"<{word[:LONG_WORD]}>"
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word[:LONG_WORD])
+    padded = f"<{word}>"
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word)
 
 
 @dataclass

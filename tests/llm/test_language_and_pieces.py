@@ -96,3 +96,11 @@ def test_backoff_goes_to_shorter_grams(spark):
     assert found[7][0] == "de"  # nothing known: equal sums, first language
     empty = language_id.train(docs.limit(0))
     assert [r.lang_pred for r in language_id.identify(asked, empty).collect()] == ["und"] * 7
+
+
+def test_all_of_a_long_run_counts():
+    import numpy as np
+
+    assert language_id.grams_of("a" * 64 + "xyz", 3)[-2:] == ["xyz", "yz>"] and len(language_id.grams_of("a" * 500, 1)) == 500
+    model = language_id.LanguageModel(["aa", "bb"], {}, {"a": 0, "b": 1}, np.zeros((0, 2), np.float32), np.log(np.array([[0.9, 0.1], [0.1, 0.9]], np.float32)))
+    assert language_id.predict(["a" * 64 + "b" * 5000], language_id._Memo(model))[0][0] == "bb"
