@@ -194,11 +194,30 @@ def test_online_equals_offline(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
 
 
-def test_patches():
-    assert tokens.patches("X:1\nK:C\n|: a | b || c :|\n") == ["X:1\n", "K:C\n", "|: a |", " b ||", " c :|\n"]
-    assert tokens.patches("ticks_per_beat 480\nnote 1\nnote 2\ntempo 3\n") == ["ticks_per_beat 480\n", "note 1\t2\n", "tempo 3\n"]
-    assert tokens.code_points("ab", 6) == [1, 97, 98, 2, 0, 0] and tokens.code_points("abcdef", 4) == [1, 97, 98, 99]
-    assert tokens.patches("") == []
+def test_patches(spark):
+    def run(text, column):
+        return spark.createDataFrame([(text,)], "t string").select(column(F.col("t"))).first()[0]
+
+    abc = "X:1\nK:C\n|: a | b || c :|\n"
+    assert run(abc, tokens.patches) == ["X:1\n", "K:C\n", "|: a |", " b ||", " c :|\n"]
+    assert run("ticks_per_beat 480\nnote 1\nnote 2\ntempo 3\n", tokens.patches) == ["ticks_per_beat 480\n", "note 1\t2\n", "tempo 3\n"]
+    assert run("a|b\nL:1/8\nno bar\n|\n||x|\u00e9|\n%%c\n", tokens.patches) == ["a|\n", "||x|", "e|\n", "%%c\n"]
+    assert run("", tokens.patches) == [] and run(None, tokens.patches) == []
+    assert run("ab", lambda c: tokens.code_points(c, 6)) == [1, 97, 98, 2, 0, 0] and run("abcdef", lambda c: tokens.code_points(c, 4)) == [1, 97, 98, 99]
+    texts = lambda **how: run(abc, lambda c: F.transform(tokens.tokenise(c, 16, 2, **how), tokens.patch_text))
+    assert texts() == ["X:1\n", "K:C\n"] and texts(cut="tail") == [" b ||", " c :|\n"] and texts(cut="middle") == ["|: a |", " b ||"]
+    rows = run("X:1\n", lambda c: tokens.tokenise(c, 4, 4, pad=True, special=True))
+    assert rows == [[1] * 4, [1, 88, 58, 49], [2] * 4, [0] * 4]
+
+
+def test_windows_fall_evenly_on_free_places():
+    from orpheon.operators import prepare
+
+    found = prepare.free_windows([(2.0, 3.0), (2.5, 4.0), (9.0, 9.5)], 12.0, 4000, "x")
+    assert len(found) == 4000 and all(0 <= a and b <= 12 and (b <= 2 or 4 <= a and b <= 9 or a >= 9.5) for a, b in found)
+    longest = [a for a, b in found if b - a > 1.4]  # length 1.5: room 0.5, 3.5 and 1
+    shares = [sum(lo <= a <= hi for a in longest) / len(longest) for lo, hi in ((0, 0.5), (4, 7.5), (9.5, 10.5))]
+    assert all(abs(s - w) < 0.04 for s, w in zip(shares, (0.1, 0.7, 0.2), strict=True))
 
 
 def wav(samples, rate=100, channels=1):
