@@ -10,12 +10,15 @@ cw, an interval end that has no value yet gets the length of w, and the expansio
 without a value share `length` bytes or more with their neighbour; such a run is a repeat if its contexts' counts
 add up to two.
 
-An anchor with more than CROWD bytes of different contexts is not gathered: its windows are dealt out by a
-128-bit hash of their bytes and counted, which gives the same answer.
-
-Defined results: null and empty texts have no bytes and nothing to remove; texts shorter than `length` keep all.
-Matches never cross documents. Equal rows are different occurrences and so repeat each other. Only doc_id and
-text are read.
+An anchor with more than CROWD bytes of different contexts is not gathered. Its contexts are cut anew, before their
+bytes are dealt out, by a second anchor under another hash, then by a third; what is still too much is cut into single
+windows, which are dealt out by their own hash. Equal windows stay together at each level, and all go through the
+transform.
+
+Defined results: null and empty texts have no bytes and nothing to remove; texts shorter than `length` keep all; very
+long texts are scanned in the worker that reads them, at a few dozen times their size in memory. An empty table gives
+no rows. Matches never cross documents. Equal rows are different occurrences and so repeat each other; of equal gram
+hashes in a window the first place is the anchor. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -35,13 +38,15 @@ from .common import bounded_batches, mix, stored, table, text_buffers
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are suffix-sorted at once (they fit a core's cache), and bytes of one anchor's contexts that one task takes.
-BLOCK, CROWD = 256 << 10, 2 << 20
+BLOCK, CROWD = 256 << 10, 512 << 10
+#: So many hashes choose anchors, one after the other, before a crowd is cut into single windows.
+LEVELS = 3
 _SPANS = T.ArrayType(T.StructType().add("a", T.IntegerType()).add("b", T.IntegerType()))
 _ARROW_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM = 32 bytes from each place."""
+def gram_hashes(data: np.ndarray, level: int = 0) -> np.ndarray:
+    """A hash of the GRAM = 32 bytes from each place; each level has its own."""
     h = data.astype(np.uint64) + np.uint64(1)
     factor, size = np.uint64(0x9E3779B97F4A7C15), 1
     with np.errstate(over="ignore"):
@@ -49,7 +54,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
             h = h[:-size] * factor + h[size:]
             factor = factor * factor
             size *= 2
-    return mix(h)
+    return mix(h ^ np.uint64(level * 0x5851F42D4C957F2D & (1 << 64) - 1))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -60,17 +65,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(x) - width + 1], low[width - size :])
 
 
-def contexts(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def contexts(data: np.ndarray, ends: np.ndarray, length: int, level: int = 0) -> tuple[np.ndarray, ...]:
     """(text, anchor, first, last): the runs of windows with one anchor place; places are within the text.
 
-    No two windows of a context are equal: their distances to the anchor differ."""
+    The anchor has the smallest upper half of the hash, and of equal ones it is the first, whatever else is scanned
+    with it. No two windows of a context are equal: their distances to the anchor differ."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(data) < length:
         return none
-    hashes = gram_hashes(data)
-    bits = np.uint64(len(data).bit_length())
-    below = (np.uint64(1) << bits) - np.uint64(1)
-    # The smallest hash, and of equal ones the first: the place stands in the lowest bits.
+    hashes = gram_hashes(data, level)
+    below = np.uint64((1 << 32) - 1)  # places stand in the lower half
     at = (sliding_min(hashes & ~below | np.arange(len(hashes), dtype=np.uint64), length - GRAM + 1) & below).astype(np.int64)
     text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[: len(at)]
     place = np.flatnonzero(np.arange(len(at)) + length <= ends[text + 1])
@@ -191,75 +195,90 @@ def _spans(found: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"a": a, "b": b} for a, b in row] for row in found], _ARROW_SPANS)
 
 
-def expand_contexts(forms: DataFrame, length: int, block: int, crowd: int) -> DataFrame:
-    """anchor, form, spans of the contexts (anchor, form, n, bytes); an anchor of over `crowd` bytes gives null spans."""
-    names = ["anchor", "form", "spans"]
+def expand_contexts(forms: DataFrame, length: int, block: int) -> DataFrame:
+    """anchor, form, spans of the contexts (anchor, form, n, bytes), of which an anchor has a bounded number of bytes."""
 
     def solved(rows: list[tuple]) -> pa.RecordBatch:
         spans = repeated([r[3] for r in rows], [r[2] for r in rows], length)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), _spans(spans)], names)
-
-    def put_off(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.nulls(len(rows), _ARROW_SPANS)], names)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), _spans(spans)], ["anchor", "form", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
-        group: list[tuple] = []
-        ready_size = group_size = 0
-        large = False
-        forms: set[int] = set()
+        group: dict[int, tuple] = {}
+        ready_size = 0
+        anchor = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[0] != group[-1][0]:
-                    if large:
-                        yield put_off(group)
-                    else:
-                        if ready and ready_size + group_size > block:
-                            yield solved(ready)
-                            ready, ready_size = [], 0
-                        ready += group
-                        ready_size += group_size
-                    group, group_size, large, forms = [], 0, False, set()
-                if large:  # neither bytes nor forms are held any more
-                    group.append((*row[:3], b""))
-                    if len(group) > 4096:
-                        yield put_off(group[:-1])
-                        group = group[-1:]
-                elif row[1] not in forms:
-                    forms.add(row[1])
-                    group.append(row)
-                    group_size += len(row[3]) + 1
-                    if group_size > crowd:
-                        large, forms = True, set()
-                        yield put_off(group[:-1])
-                        group = [(*row[:3], b"")]
-        if group and large:
-            yield put_off(group)
-        elif group:
-            if ready and ready_size + group_size > block:
-                yield solved(ready)
-                ready = []
-            ready += group
-        if ready:
+                if row[0] != anchor:
+                    size = sum(len(r[3]) + 1 for r in group.values())
+                    if ready and ready_size + size > block:
+                        yield solved(ready)
+                        ready, ready_size = [], 0
+                    ready += group.values()
+                    ready_size += size
+                    anchor, group = row[0], {}
+                group.setdefault(row[1], row)
+        if ready and ready_size + sum(len(r[3]) + 1 for r in group.values()) > block:
             yield solved(ready)
+            ready = []
+        if ready or group:
+            yield solved([*ready, *group.values()])
 
     parts = max(8, int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return forms.select("anchor", "form", "n", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(run, T.StructType().add("anchor", "long").add("form", "long").add("spans", _SPANS))
 
 
-def count_windows(forms: DataFrame, length: int) -> DataFrame:
-    """anchor, form, spans by counting windows by their hash: for anchors whose contexts are too many for one task."""
+def cut_anew(forms: DataFrame, length: int, level: int) -> DataFrame:
+    """The contexts (anchor, form, n, bytes) cut by the anchors of another level, or into single windows after the last
+    one: anchor, form, n as they were, and key, sub, off, bytes of each part."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, form, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                size = len(raw) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * size, pa.int64()), pa.array([form] * size, pa.int64()), pa.array([n] * size, pa.int64()), pa.array(range(size), pa.int32()), pa.array([xxhash.xxh3_128_digest(raw[k : k + length]) for k in range(size)], pa.binary())], ["anchor", "form", "n", "place", "window"])
-
-    rows = forms.select("anchor", "form", "n", "bytes").mapInArrow(windows, "anchor long, form long, n long, place int, window binary")
-    twice = rows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
-    one = F.struct(F.col("place").alias("a"), F.col("place").alias("b"))
-    return rows.join(twice, "window").groupBy("anchor", "form").agg(F.sort_array(F.collect_list(one)).alias("spans"))
+            data, ends = text_buffers(batch.column(3))
+            raw = memoryview(data)
+            if level < LEVELS:
+                row, key, first, last = contexts(data, ends, length, level)
+                key = mix(key.view(np.uint64) ^ batch.column(0).to_numpy()[row].view(np.uint64)).view(np.int64)
+            else:
+                windows = np.maximum(np.diff(ends) - length + 1, 0)
+                row = np.repeat(np.arange(len(batch)), windows)
+                first = last = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+                key = None
+            begin = ends[row] + first
+            for a in range(0, len(row), 8192):
+                part = slice(a, a + 8192)
+                pieces = [raw[x : x + n].tobytes() for x, n in zip(begin[part].tolist(), (last[part] - first[part] + length).tolist(), strict=True)]
+                sub = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], np.uint64).view(np.int64)
+                of = [batch.column(k).take(pa.array(row[part])) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(sub if key is None else key[part]), pa.array(sub), pa.array(first[part].astype(np.int32)), pa.array(pieces, pa.binary())], ["anchor", "form", "n", "key", "sub", "off", "bytes"])
+
+    return forms.select("anchor", "form", "n", "bytes").mapInArrow(run, "anchor long, form long, n long, key long, sub long, off int, bytes binary")
+
+
+def expand_crowds(forms: DataFrame, length: int, block: int, crowd: int, level: int = 1) -> DataFrame:
+    """anchor, form, spans of contexts whose anchors have too many bytes for one task."""
+    spark = forms.sparkSession
+    parts = stored(spark, cut_anew(forms, length, level), "parts")
+    finer = parts.groupBy(F.col("key").alias("anchor"), F.col("sub").alias("form")).agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
+    finer = stored(spark, finer.withColumn("size", F.length("bytes") + 1), "finer")
+    found = expand_sized(finer, length, block, crowd, level).select(F.col("anchor").alias("key"), F.col("form").alias("sub"), "spans")
+    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("off")).alias("a"), (s["b"] + F.col("off")).alias("b")))
+    return parts.select("anchor", "form", "key", "sub", "off").join(found, ["key", "sub"]).groupBy("anchor", "form").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+
+
+def expand_sized(forms: DataFrame, length: int, block: int, crowd: int, level: int = 0) -> DataFrame:
+    """anchor, form, spans of those contexts (anchor, form, n, bytes, size) that repeat, crowds apart; level: of the hash
+    that chose these anchors.
+
+    A window that is dealt out by its own hash meets only its equals, which are one context, so it is no crowd."""
+    spark = forms.sparkSession
+    sizes = forms.groupBy("anchor").agg(F.sum("size").alias("all")).where(F.col("all") > crowd).select("anchor")
+    hot = sizes.checkpoint() if level < LEVELS else None
+    if hot is None or hot.isEmpty():
+        return stored(spark, expand_contexts(forms, length, block).where("size(spans) > 0"), "expanded")
+    found = expand_contexts(forms.join(hot, "anchor", "left_anti"), length, block).where("size(spans) > 0")
+    crowds = forms.join(hot, "anchor", "left_semi").dropDuplicates(["anchor", "form"])
+    return stored(spark, found, "expanded").union(expand_crowds(crowds, length, block, crowd, level + 1))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
@@ -284,12 +303,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, cr
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in ("anchor", "form", "n")] + [pa.array([raw[r["first"] : r["last"] + length] for r in rows], pa.binary())], ["anchor", "form", "n", "bytes"])
 
     pieces = sources.select("asked", "text").mapInArrow(cut, "anchor long, form long, n long, bytes binary")
-    pieces = stored(spark, pieces, "pieces")  # equal rows of docs give equal pieces
-    found = stored(spark, expand_contexts(pieces, length, block, crowd), "expanded")
-    late = found.where("spans is null").select("anchor", "form")
-    spans = found.where("spans is not null and size(spans) > 0")
-    if not late.isEmpty():
-        spans = spans.union(count_windows(pieces.join(late, ["anchor", "form"], "left_semi").dropDuplicates(["anchor", "form"]), length).select("anchor", "form", "spans"))
+    pieces = stored(spark, pieces.withColumn("size", F.length("bytes") + 1), "pieces")  # equal rows of docs give equal pieces
+    spans = expand_sized(pieces, length, block, crowd)
     places = some.join(spans, ["anchor", "form"]).select("doc_id", "hash", "first", F.explode("spans").alias("s"))
     ranges = places.select("doc_id", "hash", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b") + length).alias("b"))
     return ranges.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -58,7 +58,7 @@ def docs():
     return found
 
 
-@pytest.mark.parametrize("how", [{}, {"block": 3000}, {"block": 3000, "crowd": 3000}])
+@pytest.mark.parametrize("how", [{}, {"block": 3000}, {"block": 3000, "crowd": 3000}, {"block": 3000, "crowd": 300}])
 def test_equal_to_brute_force(spark, how):
     given = docs()
     frame = spark.createDataFrame([(i, t, "x") for i, t in given], "doc_id long, text string, hash string")
@@ -73,3 +73,28 @@ def test_whole_table_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_anchors_do_not_depend_on_what_is_scanned_with_a_text():
+    rng = np.random.default_rng(7)
+    text, before = rng.integers(97, 100, 900, dtype=np.uint8), rng.integers(97, 100, 70_000, dtype=np.uint8)
+    alone = suffix_dedup.contexts(text, np.array([0, 900]), 200)
+    late = suffix_dedup.contexts(np.concatenate([before, text]), np.array([0, 70_000, 70_900]), 200)
+    mine = late[0] == 1
+    assert len(alone[0]) > 3 and all((a == b[mine]).all() for a, b in zip(alone[1:], late[1:], strict=True))
+
+
+def test_levels_choose_other_anchors_and_lose_no_window():
+    text = np.random.default_rng(8).integers(97, 123, 5000, dtype=np.uint8)
+    found = [suffix_dedup.contexts(text, np.array([0, 5000]), 200, level) for level in range(3)]
+    for _, _, first, last in found:
+        assert np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]).tolist() == list(range(4801))
+    assert len({tuple(x[1].tolist()) for x in found}) == 3
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = noise(300)
+    frame = spark.createDataFrame([(1, noise(1_500_000) + passage + noise(1_000_000) + passage + noise(9)), (2, noise(50))], "doc_id long, text string")
+    assert [(r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(frame).orderBy("doc_id").collect()] == [(1, 600, 2), (2, 0, 0)]
