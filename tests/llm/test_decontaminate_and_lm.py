@@ -84,15 +84,19 @@ def test_planted_benchmark_passages_are_found(spark):
 class Naive:
     """Context-tree weighting by recursion over one bit node of all contexts."""
 
-    def __init__(self, texts):
-        self.counts = Counter()
+    def __init__(self, texts, depth):
+        self.counts, self.depth = Counter(), depth
         for t in texts:
-            padded = b"\0\0" + t
-            for i in range(2, len(padded)):
+            padded = bytes(depth) + t
+            for i in range(depth, len(padded)):
                 bits = f"{padded[i]:08b}"
-                for d in range(3):
+                for d in range(depth + 1):
                     for k in range(8):
                         self.counts[padded[i - d : i], bits[:k], bits[k]] += 1
+        self.kids = {}
+        for ctx, _, _ in self.counts:
+            if ctx:
+                self.kids.setdefault(ctx[1:], set()).add(ctx)
 
     def block(self, ctx, node):
         a, b = self.counts[ctx, node, "0"], self.counts[ctx, node, "1"]
@@ -100,43 +104,40 @@ class Naive:
 
     def weighted(self, ctx, node):
         own = self.block(ctx, node)
-        if len(ctx) == 2:
+        if len(ctx) == self.depth:
             return own
-        kids = sum(self.weighted(bytes([x]) + ctx, node) for x in self.bytes_before(ctx))
-        return math.log(0.5) + np.logaddexp(own, kids)
+        return math.log(0.5) + np.logaddexp(own, sum(self.weighted(x, node) for x in self.kids.get(ctx, ())))
 
-    def bytes_before(self, ctx):
-        return {c[0] for c, _, _ in self.counts if len(c) == len(ctx) + 1 and c[1:] == ctx}
-
-    def one(self, history, node, depth=0):
-        ctx = history[2 - depth :]
+    def one(self, history, node, d=0):
+        ctx = history[self.depth - d :]
         a, b = self.counts[ctx, node, "0"], self.counts[ctx, node, "1"]
         own = (b + 0.5) / (a + b + 1)
-        if depth == 2:
+        if d == self.depth:
             return own
         w = math.exp(math.log(0.5) + self.block(ctx, node) - self.weighted(ctx, node))
-        return w * own + (1 - w) * self.one(history, node, depth + 1)
+        return w * own + (1 - w) * self.one(history, node, d + 1)
 
     def score(self, text):
-        padded, total = b"\0\0" + text, 0.0
-        for i in range(2, len(padded)):
+        padded, total = bytes(self.depth) + text, 0.0
+        for i in range(self.depth, len(padded)):
             bits = f"{padded[i]:08b}"
             for k in range(8):
-                p = self.one(padded[i - 2 : i], bits[:k])
+                p = self.one(padded[i - self.depth : i], bits[:k])
                 total += math.log10(p if bits[k] == "1" else 1 - p)
         return total
 
 
-def test_scores_equal_brute_force(spark):
-    given = [(i, t) for i, t in enumerate(["abab", "ab ba AB", "", None, "b\tb\na", "zzz é", "abc abc abc", "qu", "a" * 40, "ab"])]
+@pytest.mark.parametrize("how", [{}, {"depth": 3}, {"depth": 6, "held": 3}])
+def test_scores_equal_brute_force(spark, how):
+    given = [(i, t) for i, t in enumerate(["abab", "ab ba AB", "", None, "b\tb\na", "zzz \u00e9", "abc abc abc", "qu", "a" * 40, "ab", "abc abd"])]
     given += [(3, "repeat"), (None, "null id")]
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in given], "doc_id long, text string, score double")
     train = [t or "" for i, t in given if i is None or i % 3 != 2]
-    rows = lm_scoring.score_documents(docs, F.expr("coalesce(doc_id % 3 <> 2, true)")).collect()
+    rows = lm_scoring.score_documents(docs, F.expr("coalesce(doc_id % 3 <> 2, true)"), **how).collect()
     lowered = [t.encode().lower() for t in train]
     counts = Counter(w for t in lowered for w in [*t.split(), b""])
     n, v = sum(counts.values()), len(counts)
-    naive = Naive(lowered)
+    naive = Naive(lowered, how.get("depth", lm_scoring.DEPTH))
     assert len(rows) == len(given)
     by_key = sorted(((r.doc_id is None, r.doc_id, r.n_tokens), r) for r in rows)
     expected = sorted(((i is None, i, len((t or "").split()) + 1), t or "") for i, t in given)
@@ -148,22 +149,53 @@ def test_scores_equal_brute_force(spark):
         assert r.score == pytest.approx(naive.score(text.encode().lower()), abs=1e-4)
 
 
+def test_without_training_and_without_rows(spark):
+    docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
+    rows = lm_scoring.score_documents(docs, F.lit(False)).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [(2, 0, 0), (1, 0, 0)]
+    assert rows[0].score == pytest.approx(-16 * math.log10(2)) and rows[1].score == 0 and rows[1].bits_per_byte is None
+    assert lm_scoring.score_documents(docs.limit(0), F.lit(True)).collect() == []
+    with pytest.raises(ValueError):
+        lm_scoring.score_documents(docs, F.lit(True), depth=7)
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a a b w{i} w{i // 2}") for i in range(20)], "doc_id long, text string")
     every = F.lit(True)
     full = {r.doc_id: r for r in lm_scoring.score_documents(docs, every).collect()}
     monkeypatch.setattr(lm_scoring, "FREQUENT", 2)
-    few = {r.doc_id: r for r in lm_scoring.score_documents(docs, every).collect()}
+    few = {r.doc_id: r for r in lm_scoring.score_documents(docs, every, held=0).collect()}
     for k, r in full.items():
-        assert few[k].n_known == r.n_known and few[k].base_score == pytest.approx(r.base_score)
-
-
-def test_probabilities_sum_to_one_and_learning_helps(spark):
-    codes = np.array([[0, 97, 98], [97, 98, 97], [98, 97, 98]])
-    tree = lm_scoring.ContextTree(codes @ np.array([65536, 256, 1]), np.array([3.0, 40, 40]))
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(axis=1), 1, atol=1e-4)
-    r = lm_scoring.op9_lm_scoring(spark, SF).where("held_out").selectExpr("avg(bits_per_byte) a").first()
-    assert r.a < 4
+        assert few[k].n_known == r.n_known and few[k].base_score == pytest.approx(r.base_score) and few[k].score == pytest.approx(r.score, abs=1e-4)
+
+
+def test_probabilities_of_a_context_add_up_to_one():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 100, 3000, dtype=np.uint8)
+    codes, counts = np.unique(lm_scoring.gram_codes(data, np.array([0, 3000]), 4), return_counts=True)
+    for context in (int(codes[50]) >> 8, int(codes[9]) >> 8, 0x61616100):
+        asked = np.unique(np.concatenate([codes, (context << 8) + np.arange(256)]))
+        learnt = np.zeros(len(asked))
+        learnt[np.searchsorted(asked, codes)] = counts
+        tree = lm_scoring.Subtrees(asked, learnt, 4)
+        logs = lm_scoring.Top(*tree.above).finish(asked, tree.ones, 4)
+        assert (10 ** logs[asked >> 8 == context]).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_lookup_finds_what_it_holds_and_nothing_else():
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 1 << 56, 5000))
+    model = lm_scoring.Lookup(codes[::2], np.arange(len(codes[::2])) / 7)
+    value, missing = model.get(codes)
+    assert missing.tolist() == list(range(1, len(codes), 2)) and np.allclose(value[::2], np.arange(len(codes[::2])) / 7)
+    assert lm_scoring.Lookup(codes[:0], np.zeros(0)).get(codes)[1].tolist() == list(range(len(codes)))
+
+
+def test_deeper_contexts_learn_more(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held_out = F.expr("crc32(cast(doc_id as string)) % 7 = 2")
+    cost = {d: lm_scoring.score_documents(docs, ~held_out, depth=d).where(held_out).selectExpr("-sum(score)").first()[0] for d in (3, 5)}
+    assert cost[5] < cost[3]
 
 
 def test_training_split_is_crc():
