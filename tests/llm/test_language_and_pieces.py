@@ -98,9 +98,93 @@ def test_backoff_goes_to_shorter_grams(spark):
     assert [r.lang_pred for r in language_id.identify(asked, empty).collect()] == ["und"] * 7
 
 
-def test_all_of_a_long_run_counts():
+def as_model(langs, counts):
+    """counts: {kind: {key: {lang: count}}}"""
     import numpy as np
 
-    assert language_id.grams_of("a" * 64 + "xyz", 3)[-2:] == ["xyz", "yz>"] and len(language_id.grams_of("a" * 500, 1)) == 500
-    model = language_id.LanguageModel(["aa", "bb"], {}, {"a": 0, "b": 1}, np.zeros((0, 2), np.float32), np.log(np.array([[0.9, 0.1], [0.1, 0.9]], np.float32)))
-    assert language_id.predict(["a" * 64 + "b" * 5000], language_id._Memo(model))[0][0] == "bb"
+    rows = [(k, key, langs.index(x), c) for k, t in counts.items() for key, by in t.items() for x, c in by.items()]
+    kind, key, lang, count = zip(*rows, strict=True)
+    return language_id.LanguageModel(langs, np.array(kind), np.array(key, object), np.array(lang), np.array(count, float))
+
+
+def test_all_of_a_long_run_counts():
+    assert list(language_id.grams_of("a" * 64 + "xyz", 3))[-2:] == ["xyz", "yz>"] and len(list(language_id.grams_of("a" * 500, 1))) == 500
+    model = as_model(["aa", "bb"], {1: {"a": {"aa": 9, "bb": 1}, "b": {"aa": 1, "bb": 9}}})
+    for n in (5000, 200_000):
+        memo = language_id.Memo(model)
+        assert language_id.predict(["a" * 64 + "b" * n], memo)[0][0] == "bb" and len(memo) == 0
+
+
+def brute_languages(learn, asked):
+    """Word-first backoff by dictionaries. learn: (lang, text); asked: texts."""
+    import re
+    from collections import Counter
+
+    letters = re.compile(r"[^\W\d_]+")
+    grams = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)
+    tables = [{} for _ in range(6)]
+    for lang, text in sorted(set(learn)):
+        for w in letters.findall(text.lower()):
+            for n in range(6):
+                tables[n].setdefault(lang, Counter()).update([w] if n == 0 else grams(w, n))
+    langs = sorted(tables[0])
+    for n, t in enumerate(tables):
+        for lang, c in t.items():
+            t[lang] = dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: language_id.WORDS if n == 0 else language_id.GRAMS])
+    keys = [set().union(*t.values()) for t in tables]
+    logs = lambda n, key: [math.log((tables[n][x].get(key, 0) + 0.5) / (sum(tables[n][x].values()) + 0.5 * len(keys[n]))) for x in langs]
+    known = {}
+
+    def value(w):
+        if w not in known:
+            known[w] = logs(0, w) if w in keys[0] else [0.0] * len(langs)
+            if w not in keys[0]:
+                for n in range(5, 0, -1):
+                    if hits := [logs(n, g) for g in grams(w, n) if g in keys[n]]:
+                        known[w] = [sum(h) / len(hits) for h in zip(*hits, strict=True)]
+                        break
+        return known[w]
+
+    found = []
+    for text in asked:
+        words = letters.findall((text or "").lower())
+        if not any(c.isalpha() for c in text or ""):
+            found.append(("und", 0.0))
+            continue
+        sums = [sum(v) for v in zip(*map(value, words), strict=True)]
+        top = max(sums)
+        found.append((langs[sums.index(top)], 1 / sum(math.exp(v - top) for v in sums)))
+    return found
+
+
+def test_whole_table_equals_brute_force(spark):
+    import zlib
+
+    t = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pydict()
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in t["doc_id"]}
+    learn = [(x, text) for i, x, text in zip(t["doc_id"], t["lang"], t["text"], strict=True) if x is not None and text is not None and not held[i]]
+    expected = dict(zip(t["doc_id"], brute_languages(learn, t["text"]), strict=True))
+    rows = language_id.op4_language_id(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(expected)
+    for r in rows:
+        lang, score = expected[r.doc_id]
+        assert (r.lang_pred, r.held_out) == (lang, held[r.doc_id]) and r.score == pytest.approx(score, abs=1e-6)
+
+
+def test_every_language_can_be_predicted_however_many(spark):
+    """150 languages, each with a word and a letter of its own; one has only copies of one text."""
+    rows = [(i, f"common w{chr(0x4E00 + i % 150)}{chr(0x4E00 + i % 150)} common", f"l{i % 150:03}") for i in range(450)] + [(1000 + i, "lonely copies", "zz") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for how in ({}, {"sample": 151}, {"docs_per_lang": 1, "entries": 300}):
+        model = language_id.train(docs, **how)
+        assert len(model.langs) == 151
+    model = language_id.train(docs)
+    found = language_id.predict([f"w{chr(0x4E00 + i)}{chr(0x4E00 + i)}" for i in range(150)] + ["lonely"], language_id.Memo(model))
+    assert [f[0] for f in found] == model.langs
+
+
+def test_sample_is_bounded_and_learns_copies_once(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('word', if(id % 3 = 0, 0, id)) as text", "if(id % 10 = 0, 'b', 'a') as lang")
+    sizes = {r.lang: r["count"] for r in language_id.training_sample(docs, docs_per_lang=500).groupBy("lang").count().collect()}
+    assert 250 < sizes["a"] < 420 and 250 < sizes["b"] < 420  # a third are copies
+    assert {r.lang: r["count"] for r in language_id.training_sample(docs, docs_per_lang=30_000).groupBy("lang").count().collect()} == {"a": 12001, "b": 1334}

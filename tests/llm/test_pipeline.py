@@ -15,7 +15,7 @@ def test_stages_equal_brute_force(spark):
     docs = {i: t for i, t in zip(source["doc_id"], source["text"], strict=True)}
     table = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.train(table.where(id_crc() % 4 != 2))
-    memo = language_id._Memo(model)
+    memo = language_id.Memo(model)
     kept = {i: t for i, t in docs.items() if (p := language_id.predict([t], memo)[0])[0] != "und" and p[1] >= 0.5}
     assert len(kept) > 0.9 * len(docs)
 
