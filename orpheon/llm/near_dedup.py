@@ -1,26 +1,34 @@
 """MinHash near-duplicate detection with an LSH forest, confirmed on full shingle sets.
 
 A document's set is its distinct 5-word shingles (A-Z lowered; words are runs of anything but space and the
-bytes 9 to 13). Equal sets are one node. Each of TREES signature orders sorts the nodes by MAX_DEPTH MinHash
-values; neighbours whose longest common prefix is at least the region's depth are candidates. The depth is
-BASE_DEPTH, and deeper in regions of more than REGION nodes. Candidates join nodes into families; within a
-family every pair that may still join two components is compared on the full sets, by counts over an inverted
-index, so a link is decided exactly: 100 * intersection >= percent * union.
+bytes 9 to 13). Equal sets are one node. Each tree of the forest is an order of all nodes, sorted by DEPTH MinHash
+values of its own; neighbours in an order whose longest common prefix is at least the region's depth are candidates.
+The depth is DEPTH, and SHALLOW in regions (runs with SHALLOW values in common) of at most SPARSE nodes. Orders are
+dealt out by ranges of the whole key, so a region of any size is split, and runs that touch a range's ends are walked
+once more over all ranges' ends. Linking neighbours costs one row a node and order, however many nodes stand together.
+
+Candidates join nodes into families; within a family every pair that may still join two components is compared on the
+full sets, by counts over an inverted index, so a link is decided exactly: 100 * intersection >= percent * union. A
+member is looked up by its rarest shingles alone, so many of them that a linked set must have one, where that is less.
 
 A family of at most FAMILY shingles is settled in one task. A larger one is never gathered: in rounds, pivots
-(nodes outside the family's largest component) are compared with all its nodes in salted blocks, until every
-node outside the largest component has been a pivot. Then no link between components is left.
+(nodes outside the family's largest component, of at most FAMILY shingles a round) are compared with all its nodes in
+salted blocks, until every node outside the largest component has been a pivot. Then no link between components is left.
 
-A pair at similarity 0.85 shares a BASE_DEPTH prefix in some order with probability 1 - (1 - 0.85^4)^16, which
-is 0.99999; that is the only way in which a link can be missed.
+A pair at similarity s shares a DEPTH prefix in none of n orders with probability (1 - s^4)^n, and no region is ever
+deeper. The number of orders follows from `percent`, so that this is at most MISS = 1e-5 for a pair that just makes it:
+16 orders at 0.85, 22 at 0.80. That is the only way in which a link can be missed.
 
 Defined results: null text, or text without words, has an empty set and is linked with nothing. Fewer than five
-words are one shingle. Equal doc_ids are one document where component ids are concerned; repeated rows each give
-a row. Null doc_ids get null components and are kept. Only doc_id and text are read.
+words are one shingle. Very long texts are read whole, at some thirty times their size in memory. Equal doc_ids are one
+document where component ids are concerned; repeated rows each give a row. Null doc_ids get null components and are
+kept. Ties: nodes with equal keys stand in the order of their hash. An empty table gives no rows. Only doc_id and text
+are read, so other columns cannot clash; the pipeline stage passes them through.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +42,12 @@ from .common import LOWER, UPPER, bounded_batches, mix, stored, table, text_buff
 from .graph import components
 
 WORDS, PERCENT = 5, 85
-TREES, BASE_DEPTH, MAX_DEPTH = 16, 4, 6
-REGION, FAMILY, PIVOTS = 20_000, 4_000_000, 64
+#: Values in common that make neighbours candidates, and those that do in regions of so few nodes.
+DEPTH, SHALLOW, SPARSE = 4, 3, 4
+#: The chance to miss a pair that just makes it.
+MISS = 1e-5
+#: Shingles that one task settles at once, and pivots of the first round; each later round has twice as many.
+FAMILY, PIVOTS = 4_000_000, 64
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -102,9 +114,15 @@ def _parts(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, n
             first = i + 1
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def orders(percent: int) -> int:
+    """So many orders that a pair at this similarity is missed with probability MISS at most."""
+    share = (percent / 100) ** DEPTH
+    return 1 if share >= 1 else math.ceil(math.log(MISS) / math.log1p(-share))
+
+
+def sketch(docs: DataFrame, trees: int) -> DataFrame:
     """doc_id, n_shingles, node (a 128-bit hash of the set, null if empty), keys (the MinHash values, tree by tree)."""
-    hashes = TREES * MAX_DEPTH
+    hashes = trees * DEPTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,33 +138,79 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, {_NODE}, keys binary")
 
 
-def candidate_edges(nodes: DataFrame, region: int = REGION) -> DataFrame:
-    """(u, v) between neighbours of the forest's orders. nodes: node, keys.
+def walk(prefixes: np.ndarray, first: bool, last: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of sorted rows of DEPTH values (their tree in front): the rows linked with the row before, the run of each row,
+    and the number of runs. first, last: the first, the last run may go on elsewhere, so it counts as no sparse region."""
+    same = np.cumprod(prefixes[1:] == prefixes[:-1], axis=1).sum(axis=1) - 1  # values in common; -1: another tree
+    run = np.concatenate([[0], np.cumsum(same < SHALLOW)])
+    size = np.bincount(run)
+    if first:
+        size[0] = SPARSE + 1
+    if last:
+        size[-1] = SPARSE + 1
+    link = (same >= DEPTH) | (same >= SHALLOW) & (size[run[1:]] <= SPARSE)
+    return np.flatnonzero(link) + 1, run, len(size)
 
-    In an order, nodes with an equal prefix stand side by side, so linking each to the smallest of its region
-    joins the same nodes as linking neighbours, without a sort."""
-    spark = nodes.sparkSession
 
-    def key(tree, depth):
-        return F.substring(F.col("keys"), (tree * (4 * MAX_DEPTH) + 1).cast("int"), F.lit(4 * depth))
-
-    trees = F.sequence(F.lit(0), F.lit(TREES - 1))
-    rows = nodes.select("node", F.explode(F.transform(trees, lambda t: F.struct(t.alias("tree"), F.xxhash64(t, key(t, BASE_DEPTH)).alias("prefix")))).alias("t"))
-    rows = rows.select("node", "t.tree", "t.prefix")
-    least = rows.groupBy("prefix").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    near = stored(spark, rows.join(least, "prefix"), "near")
-    edges = near.where((F.col("n") <= region) & (F.col("node") != F.col("first"))).select(F.col("node").alias("u"), F.col("first").alias("v"))
-    deep = near.where(F.col("n") > region).select("node", "tree")
-    for depth in range(BASE_DEPTH + 1, MAX_DEPTH + 1):  # a large region goes deeper, until it is small or the order ends
-        if deep.isEmpty():
-            break
-        rows = deep.join(nodes.select("node", "keys"), "node").select("node", "tree", F.xxhash64("tree", key(F.col("tree"), depth)).alias("prefix"))
-        least = rows.groupBy("prefix").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-        near = stored(spark, rows.join(least, "prefix"), "near")
-        done = F.lit(True) if depth == MAX_DEPTH else F.col("n") <= region
-        edges = edges.union(near.where(done & (F.col("node") != F.col("first"))).select("node", "first"))
-        deep = near.where(~done).select("node", "tree")
-    return edges
+def candidate_edges(nodes: DataFrame, trees: int) -> DataFrame:
+    """(u, v) between neighbours of the forest's orders. nodes: node, keys."""
+    spark = nodes.sparkSession
+    size = 4 * DEPTH
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+    rows = nodes.select("node", F.explode(F.transform(numbers, lambda t: F.struct(t.alias("tree"), F.substring(F.col("keys"), (t * size + 1).cast("int"), F.lit(size)).alias("key")))).alias("t"))
+    rows = rows.select("t.tree", "t.key", "node")
+    names = ["tree", "key", "node", "other"]
+
+    def walker(whole: bool):
+        """Edges as (-, -, node, other). Unless it is the whole order, the ends of the runs at its ends as (tree, key, node, -)."""
+
+        def edges(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+            node = batch.column(2)
+            none = pa.nulls(len(at), pa.int32())
+            return pa.RecordBatch.from_arrays([none, pa.nulls(len(at), pa.binary()), node.take(pa.array(at)), node.take(pa.array(at - 1))], names)
+
+        def ends(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+            found = batch.take(pa.array(at))
+            return pa.RecordBatch.from_arrays([*found.columns, pa.nulls(len(at), pa.binary())], names)
+
+        def values(batch: pa.RecordBatch) -> np.ndarray:
+            key = batch.column(1)
+            raw = np.frombuffer(b"".join(key.to_pylist()), np.uint32).reshape(-1, DEPTH)
+            return np.concatenate([batch.column(0).to_numpy()[:, None].astype(np.uint32), raw], axis=1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: pa.RecordBatch | None = None
+            first = not whole  # whether the first run of the rows at hand may go on in the range before
+            for batch in batches:
+                if not len(batch):
+                    continue
+                if held is not None:
+                    batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                at, runs, n = walk(values(batch), first, True)
+                yield edges(batch, at)
+                open_ = np.flatnonzero(runs == n - 1)  # the last run may go on; its last rows tell all that matters
+                if first and n > 1:
+                    yield ends(batch, np.flatnonzero(runs == 0)[-(SPARSE + 1) :])
+                    yield ends(batch, np.flatnonzero(runs == 0)[: SPARSE + 1])
+                    first = False
+                elif first:
+                    yield ends(batch, open_[: SPARSE + 1])
+                held = batch.take(pa.array(open_[-(SPARSE + 1) :]))
+            if held is not None:
+                at, runs, _ = walk(values(held), first, not whole)
+                yield edges(held, at)
+                if not whole:
+                    yield ends(held, np.arange(len(held)))
+
+        return run
+
+    schema = "tree int, key binary, node binary, other binary"
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInArrow(walker(False), schema)
+    found = stored(spark, found, "neighbours")
+    # A range has at most 4 * (SPARSE + 1) such rows, so they are few, whatever the table's size.
+    borders = found.where("other is null").select("tree", "key", "node").distinct().coalesce(1).sortWithinPartitions("tree", "key", "node").mapInArrow(walker(True), schema)
+    return found.where("other is not null").union(borders).select(F.col("node").alias("u"), F.col("other").alias("v"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -181,14 +245,34 @@ class FamilyIndex:
         order = np.argsort(token, kind="stable")
         self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
         self.first = np.searchsorted(token[order], np.arange(int(token.max()) + 2))
+        self.marked = np.zeros(len(self.first), bool)
 
     def linked(self, k: int, percent: int) -> np.ndarray:
         """The members whose similarity with member k is at least percent / 100."""
-        mine = self.token[self.at[k] : self.at[k + 1]]
-        a, n = self.first[mine], self.first[mine + 1] - self.first[mine]
-        where = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        shared = np.bincount(self.owner[where], minlength=len(self.size))
-        return np.flatnonzero(100 * shared >= percent * (self.size[k] + self.size - shared))
+        mine, n = self.token[self.at[k] : self.at[k + 1]], int(self.size[k])
+        often = self.first[mine + 1] - self.first[mine]
+        must = n - -(-percent * n // 100) + 1  # of so many shingles a linked set has one
+        if must < n:
+            order = np.argsort(often, kind="stable")
+            rare = order[:must]
+            if 8 * int(often[rare].sum()) < int(often.sum()):  # then at most half as many to add up
+                asked = np.unique(self._owners(mine[rare]))
+                fits = (100 * self.size[asked] >= percent * n) & (100 * n >= percent * self.size[asked])
+                asked = asked[fits]
+                size = self.size[asked]
+                if int(size.sum()) < int(often.sum()):
+                    self.marked[mine] = True
+                    place = np.repeat(self.at[asked] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    shared = np.add.reduceat(self.marked[self.token[place]].astype(np.int64), np.cumsum(size) - size)
+                    self.marked[mine] = False
+                    return asked[100 * shared >= percent * (n + size - shared)]
+        shared = np.bincount(self._owners(mine), minlength=len(self.size))
+        return np.flatnonzero(100 * shared >= percent * (n + self.size - shared))
+
+    def _owners(self, tokens: np.ndarray) -> np.ndarray:
+        """The members that have each of these shingles, one after the other."""
+        a, n = self.first[tokens], self.first[tokens + 1] - self.first[tokens]
+        return self.owner[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
 def settle(sets: list[bytes], percent: int = PERCENT) -> list[int]:
@@ -238,14 +322,17 @@ def _settle_families(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _settle_large(sets: DataFrame, percent: int, family: int) -> DataFrame:
-    """(u, v) links that join the components of families too large for one task, by rounds of pivots."""
+    """(u, v) links that join the components of families too large for one task, by rounds of pivots.
+
+    A round's pivots are chosen by hash, about per_round of a family and of about `family` shingles at most."""
     spark = sets.sparkSession
-    sets = stored(spark, sets.select("family", "node", "codes"), "large")
-    shape = sets.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("codes") / 8).alias("size")).withColumn("salts", F.ceil(F.col("size") / (family / 4)).cast("int")).checkpoint()
-    salted = sets.join(shape.select("family", "salts"), "family").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
+    sets = stored(spark, sets.select("family", "node", "codes", (F.length("codes") / 8).cast("long").alias("n")), "large")
+    bodies = sets.select("family", "node", "codes")
+    shape = sets.groupBy("family").agg(F.sum("n").alias("size")).withColumn("salts", F.ceil(F.col("size") / (family / 4)).cast("int")).checkpoint()
+    salted = bodies.join(shape.select("family", "salts"), "family").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
     links = sets.select(F.col("node").alias("u"), F.col("node").alias("v"))
     asked = None
-    per_round = PIVOTS
+    per_round, turn = PIVOTS, 0
 
     def compare(key, members, pivots):
         import pandas as pd
@@ -260,34 +347,36 @@ def _settle_large(sets: DataFrame, percent: int, family: int) -> DataFrame:
 
     while True:
         label = components(links).withColumnRenamed("root", "comp") if asked is not None else sets.select("node", F.col("node").alias("comp"))
-        state = sets.select("family", "node").join(label, "node")
+        state = sets.select("family", "node", "n").join(label, "node")
         size = state.groupBy("family", "comp").agg(F.count("*").alias("m"))
         largest = size.groupBy("family").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"))
-        rest = state.join(largest, "family").where((F.col("comps") > 1) & (F.col("comp") != F.col("top"))).select("family", "node")
+        rest = state.join(largest, "family").where((F.col("comps") > 1) & (F.col("comp") != F.col("top"))).select("family", "node", "n")
         if asked is not None:
             rest = rest.join(asked, "node", "left_anti")
-        from pyspark.sql import Window
-
-        pivots = rest.withColumn("rk", F.row_number().over(Window.partitionBy("family").orderBy("node"))).where(F.col("rk") <= per_round).select("family", "node").checkpoint()
+        rest = stored(spark, rest.withColumn("h", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 40))), "rest")
+        left = rest.groupBy("family").agg(F.min("h").alias("least"), F.least(F.lit(per_round) / F.count("*"), F.lit(family) / F.sum("n")).alias("share"))
+        chosen = (F.col("h") <= F.col("least")) | (F.col("h") < F.col("share") * (1 << 40))
+        pivots = rest.join(left, "family").where(chosen).select("family", "node").checkpoint()
         if pivots.isEmpty():
             return links
-        with_sets = pivots.join(sets, ["family", "node"]).join(shape.select("family", "salts"), "family").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)))
+        with_sets = pivots.join(bodies, ["family", "node"]).join(shape.select("family", "salts"), "family").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)))
         found = salted.groupBy("family", "salt").cogroup(with_sets.groupBy("family", "salt")).applyInPandas(compare, "u binary, v binary")
         links = links.union(found).checkpoint()
         asked = pivots.select("node") if asked is None else asked.union(pivots.select("node")).checkpoint()
-        per_round *= 2
+        per_round, turn = per_round * 2, turn + 1
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, region: int = REGION, family: int = FAMILY) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, family: int = FAMILY) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept (doc_id = component_id).
 
     family: the most shingles that one task settles."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    every = stored(spark, sketch(docs), "sketch")
+    trees = orders(percent)
+    every = stored(spark, sketch(docs, trees), "sketch")
     nodes = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"))
     nodes = stored(spark, nodes, "nodes")
-    families = components(stored(spark, candidate_edges(nodes, region).distinct(), "edges")).withColumnRenamed("root", "family")
+    families = components(stored(spark, candidate_edges(nodes, trees).distinct(), "edges")).withColumnRenamed("root", "family")
     members = stored(spark, nodes.where("doc_id is not null").select("node", "doc_id", "n").join(families, "node"), "members")
     sizes = members.groupBy("family").agg(F.sum("n").alias("size"))
     large = sizes.where(F.col("size") > family).select("family").checkpoint()
