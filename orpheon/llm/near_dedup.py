@@ -359,7 +359,7 @@ def _settle_large(sets: DataFrame, percent: int, family: int) -> DataFrame:
         pivots = rest.join(left, "family").where(chosen).select("family", "node").checkpoint()
         if pivots.isEmpty():
             return links
-        with_sets = pivots.join(bodies, ["family", "node"]).join(shape.select("family", "salts"), "family").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)))
+        with_sets = pivots.join(sets.select("family", "node", F.col("codes").alias("codes")), ["family", "node"]).join(shape.select("family", "salts"), "family").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)))
         found = salted.groupBy("family", "salt").cogroup(with_sets.groupBy("family", "salt")).applyInPandas(compare, "u binary, v binary")
         links = links.union(found).checkpoint()
         asked = pivots.select("node") if asked is None else asked.union(pivots.select("node")).checkpoint()
