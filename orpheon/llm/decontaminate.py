@@ -2,17 +2,21 @@
 
 An item of n bytes that occurs in a text with at most e edits shares at least n - q + 1 - q * e of its q-grams
 with that place, and their diagonals (place in the text minus place in the item) lie within e of each other. So
-q-grams are counted in overlapping diagonal bands for each item and text; a band that meets the bound is a
-region, and a banded alignment of the item against the region verifies it and gives the place and the edits.
+the q-grams of an item that are met are counted, each once, in overlapping diagonal bands for each item and text; bands
+that meet the bound, and their neighbours that do, are a region, and a banded alignment of the item against the region
+verifies it and gives the places and the edits.
 
 Texts and items are compared as bytes with A-Z lowered and every white-space byte read as a space; places are
 byte offsets in the original text. The budget is e = int(edit_rate * n), or less where the bound would fall
 below 1. Items shorter than q bytes are searched exactly.
 
-Items go to the executors in blocks of at most BLOCK_BYTES; each block is one pass over the texts. Defined
-results: null or empty texts and items match nothing; equal items all match; repeated rows are searched one by
-one. Of one item's overlapping matches in a text the one with the fewest edits counts, then the first. Columns
-of docs pass through untouched inside the struct `doc`, so clashing names do no harm.
+Items go to the executors in blocks of at most BLOCK_BYTES, of which the driver holds one; each block is one pass over
+the texts, and after PASSES passes their result is written before the next ones begin.
+
+Defined results: null or empty texts and items match nothing; an empty benchmark matches nothing, and an empty table
+gives no rows; equal items all match; repeated rows are searched one by one; very long texts are searched whole,
+STRETCH bytes at a time. Of one item's overlapping matches in a text the one with the fewest edits counts, then the
+first. Columns of docs pass through untouched inside the struct `doc`, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -25,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, mix, table, text_buffers
+from .common import bounded_batches, mix, stored, table, text_buffers
 
 Q, EDIT_RATE = 10, 0.08
-BLOCK_BYTES = 8 << 20
+#: Bytes of items that a pass has at most, and passes that are chained before their result is written.
+BLOCK_BYTES, PASSES = 8 << 20, 8
+#: Bytes of texts whose grams are looked up at once, and (gram, item place) pairs that are held at once.
+STRETCH, POSTINGS = 4 << 20, 4 << 20
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256)], np.uint8)
 _FILTER_BITS = 22
 MATCHES = T.ArrayType(T.StructType().add("item_id", T.LongType()).add("start", T.LongType()).add("end", T.LongType()).add("edits", T.IntegerType()))
@@ -47,36 +54,66 @@ def gram_codes(data: np.ndarray) -> np.ndarray:
     return mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mix(two[8 : 8 + n]))
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(edits, end) of the best occurrence of item in text, over the band of diagonals that text leaves open.
+def align(item: np.ndarray, text: np.ndarray, budget: int) -> np.ndarray:
+    """For each place in text (and its end) the edits of the best piece that ends there, or budget + 1 where they are more.
 
-    Row i holds, for each diagonal d, the edits of item[:i] against a piece of text that ends at i + d."""
-    n, width = len(item), len(text) + 1
-    shift = np.arange(-n, width)
-    low = len(shift)
-    row = np.where(shift >= 0, 0, n + 1)
-    steps = np.arange(low)
-    padded = np.concatenate([np.full(n, 256), text.astype(np.int64), np.full(n + 1, 256)])
+    Only diagonals on which a whole item fits with at most `budget` edits are walked, and the walk ends once nothing is
+    left within the budget."""
+    n, m = len(item), len(text)
+    out = np.full(m + 1, budget + 1, np.int32)
+    width = m - n + 2 * budget + 1  # diagonals -budget to m - n + budget: place in the text minus place in the item
+    if width < 1:
+        return out
+    shift = np.arange(-budget, width - budget)
+    steps = np.arange(width, dtype=np.int32)
+    row = np.where(shift >= 0, 0, n + 1).astype(np.int32)  # edits of no item byte against nothing; a piece may begin anywhere
+    padded = np.full(n + width, 256, np.int16)  # byte i + d of the text stands at budget + i + d
+    padded[budget : budget + m] = text[: max(0, min(m, n + width - budget))]
+    symbols = item.astype(np.int16)
     for i in range(n):
-        step = row + (padded[i : i + low] != item[i])  # diagonal d reads text[i + d]
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(step - steps) + steps
+        step = row + (padded[i : i + width] != symbols[i])
+        np.minimum(step[:-1], row[1:] + 1, out=step[:-1])
+        step -= steps
+        np.minimum.accumulate(step, out=step)
+        step += steps
+        # Before the text's first byte the item can only be left out.
+        row = step
+        if i < budget:
+            row[: budget - i - 1] = n + 1
+            row[budget - i - 1 : budget - i] = i + 1
+        if not i & 7 and int(row.min()) > budget:
+            return out
     ends = n + shift
-    fits = (ends >= 0) & (ends < width)
-    best = int(np.where(fits, row, 2 * n + 2).argmin())
-    return int(row[best]), int(ends[best])
+    fits = (ends >= 0) & (ends <= m)
+    out[ends[fits]] = np.minimum(row[fits], budget + 1)
+    return out
 
 
-def locate(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best occurrence of item within budget edits."""
-    at = text.tobytes().find(item.tobytes())
-    if at >= 0:
-        return 0, at, at + len(item)
-    edits, end = align(item, text)
-    if edits > budget:
-        return None
-    _, back = align(item[::-1], text[max(0, end - len(item) - budget) : end][::-1])
-    return edits, end - back, end
+def locate(item: np.ndarray, text: np.ndarray, budget: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of the occurrences of item within budget edits; of those that overlap the one with the fewest
+    edits, then the one that ends first."""
+    n = len(item)
+    found: list[tuple[int, int, int]] = []
+    raw, sought = text.tobytes(), item.tobytes()
+    at = raw.find(sought)
+    while at >= 0:
+        found.append((0, at, at + n))
+        at = raw.find(sought, at + n)
+    edges = [0, *(x for _, a, b in found for x in (a, b)), len(text)]
+    if not any(b - a >= n - budget for a, b in zip(edges[::2], edges[1::2], strict=True)):
+        return found
+    cost = align(item, text, budget)
+    for _, a, b in found:
+        cost[a + 1 : b + n - budget] = budget + 1
+    while (edits := int(cost.min())) <= budget:
+        end = int(cost.argmin())
+        back = align(item[::-1], text[max(0, end - n - budget) : end][::-1], edits)
+        start = end - int(np.flatnonzero(back <= edits)[0])
+        cost[end] = budget + 1
+        if all(end <= a or start >= b for _, a, b in found):
+            found.append((edits, start, end))
+            cost[start + 1 : end + n - budget] = budget + 1
+    return found
 
 
 class Index:
@@ -110,45 +147,85 @@ class Index:
         self.filter[self.codes >> np.uint64(64 - _FILTER_BITS)] = True
         self.lengths = np.array([len(x) for x in self.items], np.int64)
         self.budgets, self.needs = np.array(self.budget, np.int64), np.array(self.need, np.int64)
-        self.band = max([32, *self.budget])
+        self.bands = np.maximum(32, self.budgets)  # diagonals between the beginnings of two bands
+        self.least = min(self.need, default=0)
 
-    def regions(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, item, first diagonal) of the bands that meet the bound. data: folded texts; ends: their offsets."""
-        codes = gram_codes(data)
-        at = np.flatnonzero(self.filter[codes >> np.uint64(64 - _FILTER_BITS)])
-        if not len(at) or not len(self.codes):
-            return
-        slot = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
-        real = self.codes[slot] == codes[at]
-        at, slot = at[real], slot[real]
-        text = np.searchsorted(ends, at, side="right") - 1
-        inside = at + Q <= ends[text + 1]
-        at, slot, text = at[inside], slot[inside], text[inside]
+    def _hits(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, band) of all pairs of a text's gram and an equal one of an item, once for each of the item's grams, in order."""
+        known = None
+        grams = int(self.lengths.max())
+        lowest = (int(at.min()) - grams) // 32 - 1
+        bands = int(at.max()) // 32 + 2 - lowest
+        if len(self.items) * bands * grams >= 1 << 63:
+            raise ValueError("a block of items is too large for texts of this length")
         count = self.count[slot]
-        posting = np.repeat(self.first[slot] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        item, diagonal = self.item_of[posting], np.repeat(at, count) - self.offset_of[posting]
-        text = np.repeat(text, count)
-        band = diagonal // self.band
-        also = diagonal - band * self.band < self.budgets[item]
-        item, text, band = (np.concatenate([x, x[also] - k]) for x, k in ((item, 0), (text, 0), (band, 1)))
-        order = np.lexsort((band, item, text))
-        item, text, band = item[order], text[order], band[order]
-        new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (band[1:] != band[:-1])]) if len(item) else np.zeros(0, np.int64)
-        hits = np.diff(np.r_[new, len(item)])
-        for k in new[hits >= self.needs[item[new]]]:
-            yield int(text[k]), int(item[k]), int(band[k]) * self.band
+        ends = np.cumsum(count)
+        first = 0
+        while first < len(at):  # so many pairs at once; what was met before counts no more
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + POSTINGS, side="right")))
+            n = count[first:last]
+            posting = np.repeat(self.first[slot[first:last]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            item, gram = self.item_of[posting], self.offset_of[posting]
+            diagonal = np.repeat(at[first:last], n) - gram
+            width = self.bands[item]
+            band = diagonal // width
+            also = diagonal - band * width < self.budgets[item]  # the band before reaches so far
+            item, gram, band = (np.concatenate([x, x[also] - k]) for x, k in ((item, 0), (gram, 0), (band, 1)))
+            key = np.unique((item * bands + band - lowest) * grams + gram)
+            known = key if known is None else np.union1d(known, key)
+            first = last
+        if known is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return known // grams // bands, known // grams % bands + lowest
+
+    def regions(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, low, high): the stretches of texts in which an item may stand. data: folded texts; ends: their offsets."""
+        if not len(self.codes):
+            return
+        reach = int(self.lengths.max() + 3 * self.bands.max()) + Q
+        size = max(STRETCH, 4 * reach)
+        for begin in range(0, max(1, len(data)), size):  # stretches overlap, so each band is whole in one of them
+            low = max(0, begin - reach)
+            codes = gram_codes(data[low : begin + size])
+            at = np.flatnonzero(self.filter[codes >> np.uint64(64 - _FILTER_BITS)])
+            if not len(at):
+                continue
+            slot = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
+            real = self.codes[slot] == codes[at]
+            at, slot = at[real] + low, slot[real]
+            text = np.searchsorted(ends, at, side="right") - 1
+            inside = at + Q <= ends[text + 1]
+            at, slot, text = at[inside], slot[inside], text[inside]
+            for rows in np.split(np.arange(len(at)), np.flatnonzero(np.diff(text)) + 1):
+                if len(rows):
+                    yield from self._regions_of(int(text[rows[0]]), at[rows], slot[rows], ends)
+
+    def _regions_of(self, text: int, at: np.ndarray, slot: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        if len(at) < self.least and int(self.count[slot].sum()) < self.least:
+            return
+        item, band = self._hits(at, slot)
+        new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
+        enough = np.diff(np.r_[new, len(item)]) >= self.needs[item[new]]
+        item, band = item[new[enough]], band[new[enough]]
+        if not len(item):
+            return
+        # Neighbouring bands are one region, and so are bands whose stretches overlap.
+        begin = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 1)])
+        for a, b in zip(begin.tolist(), np.r_[begin[1:], len(item)].tolist(), strict=True):
+            k = int(item[a])
+            e, n, width = self.budget[k], len(self.items[k]), int(self.bands[k])
+            low = max(int(ends[text]), int(band[a]) * width - e)
+            yield text, k, low, min(int(ends[text + 1]), (int(band[b - 1]) + 1) * width + 2 * e + n)
 
     def search(self, data: np.ndarray, ends: np.ndarray) -> list[list[dict]]:
         """The matches of each text."""
         data = _FOLD[data]
         found: list[dict[int, list]] = [{} for _ in range(len(ends) - 1)]
-        for text, item, diagonal in self.regions(data, ends):
-            e, n = self.budget[item], len(self.items[item])
-            low = max(int(ends[text]), diagonal - e)
-            high = min(int(ends[text + 1]), diagonal + self.band + 2 * e + n)
-            if hit := locate(self.items[item], data[low:high], e):
-                edits, start, end = hit
-                found[text].setdefault(item, []).append((edits, low + start - int(ends[text]), low + end - int(ends[text])))
+        for text, item, low, high in self.regions(data, ends):
+            at = low - int(ends[text])
+            for edits, start, end in locate(self.items[item], data[low:high], self.budget[item]):
+                found[text].setdefault(item, []).append((edits, at + start, at + end))
         rows: list[list[dict]] = []
         for text, by_item in enumerate(found):
             row = []
@@ -170,6 +247,7 @@ class Index:
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, at most so many bytes (or one item) at a time; the driver holds one block."""
     block: list[tuple[int, str]] = []
     size = 0
     for row in benchmark.where("text is not null and text <> ''").select(F.col("item_id").cast("long"), "text").toLocalIterator():
@@ -181,13 +259,17 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
     yield block
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES, passes: int = PASSES) -> DataFrame:
     """Every row of docs as a struct `doc`, with its `matches` (item_id, start, end, edits)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.struct("*").alias("doc"), "text", F.array().cast(MATCHES).alias("matches"))
     schema = rows.schema
+    chained = 0
     for block in _blocks(benchmark, block_bytes):
+        if chained == passes:  # so that no more broadcasts are alive and no more indexes held by a task
+            rows, chained = stored(spark, rows, "searched"), 0
+        chained += 1
         shared = spark.sparkContext.broadcast((block, edit_rate))  # at most BLOCK_BYTES of text, or one item
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -197,7 +279,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDI
                 part: list[list[dict]] = []
                 first = 0
                 for i in range(len(batch)):  # so many bytes of texts at once
-                    if ends[i + 1] - ends[first] > 4 << 20 or i + 1 == len(batch):
+                    if ends[i + 1] - ends[first] > STRETCH or i + 1 == len(batch):
                         part += index.search(data[ends[first] : ends[i + 1]], ends[first : i + 2] - ends[first])
                         first = i + 1
                 matches = [a + b for a, b in zip(batch.column(2).to_pylist(), part, strict=True)]

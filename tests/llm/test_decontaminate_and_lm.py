@@ -72,6 +72,81 @@ def test_matches_equal_brute_force(spark):
     assert all(r.matches == [] for r in decontaminate.find_benchmark(frame, bench.limit(0)).collect())
 
 
+def least_edits(item, text):
+    """The same for long texts: whole rows of the table, the last one given."""
+    t, steps = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for i, c in enumerate(item, 1):
+        step = np.r_[i, np.minimum(row[:-1] + (t != c), row[1:] + 1)]
+        row = np.minimum.accumulate(step - steps) + steps
+    return int(row.min())
+
+
+def test_alignment_equals_the_whole_table():
+    rng = random.Random(1)
+    for _ in range(800):
+        item = bytes(rng.choices(b"abc", k=rng.randrange(1, 14)))
+        text = bytes(rng.choices(b"abc", k=rng.randrange(20)))
+        budget = rng.randrange(4)
+        got = decontaminate.align(np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8), budget)
+        for end in range(len(text) + 1):
+            expected = min(fewest_edits(item, text[a:end]) if a == end else whole_distance(item, text[a:end]) for a in range(end + 1))
+            assert got[end] == min(expected, budget + 1)
+
+
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_whole_table_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    items, docs = (pq.read_table(f"{folder}/{name}.parquet").to_pydict() for name in ("benchmark", "documents"))
+    q = decontaminate.Q
+    rows = {r.doc_id: set(r.item_ids) for r in decontaminate.op3_decontamination(spark, folder).collect()}
+    assert len(rows) == len(docs["doc_id"]) and any(rows.values())
+    for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
+        raw = fold(text or "").encode()
+        for item_id, item in zip(items["item_id"], items["text"], strict=True):
+            sought = fold(item).encode()
+            e = max(0, min(int(decontaminate.EDIT_RATE * len(sought)), (len(sought) - q) // q))
+            if item_id in rows[doc_id]:
+                assert least_edits(sought, raw) <= e
+            elif len({raw[k : k + 4] for k in range(len(raw) - 3)} & {sought[k : k + 4] for k in range(len(sought) - 3)}) > len(sought) // 4:  # others share too few bytes in a row
+                assert least_edits(sought, raw) > e
+
+
+def test_repeats_of_a_shared_phrase_and_long_texts():
+    rng = random.Random(4)
+    phrase = "what is the meaning of this short phrase "
+    tail = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    items = [(k, phrase + tail(160)) for k in range(100)]
+    index = decontaminate.Index(items)
+
+    def search(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return index.search(raw, np.array([0, len(raw)]))[0]
+
+    assert search((phrase * 300)[:12_000]) == []
+    near = items[7][1][:90] + "#" + items[7][1][91:]
+    text = tail(5_000_000) + items[3][1] + tail(4_200_000) + items[3][1] + near + phrase * 9 + near
+    first, second = 5_000_000, 5_000_000 + 201 + 4_200_000
+    assert [(m["item_id"], m["start"], m["end"], m["edits"]) for m in search(text)] == [(3, first, first + 201, 0), (3, second, second + 201, 0), (7, second + 201, second + 402, 1), (7, len(text) - 201, len(text), 1)]
+    assert [m["edits"] for m in search(items[5][1] + near[:150] + near)] == [0, 1]
+
+
+def test_many_blocks_are_searched_in_turn(spark):
+    docs = spark.createDataFrame([(k, f"some text with the {k:03} th benchmark item in it") for k in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, f"the {k:03} th benchmark item") for k in range(30)], "item_id long, text string")
+    rows = decontaminate.find_benchmark(docs, bench, edit_rate=0.0, block_bytes=60, passes=4).collect()
+    assert {r.doc.doc_id: [m.item_id for m in r.matches] for r in rows} == {k: [k] for k in range(30)}
+
+
 def test_planted_benchmark_passages_are_found(spark):
     items = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()
     docs = pq.read_table(f"{SF}/documents.parquet").to_pydict()
