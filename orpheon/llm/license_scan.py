@@ -2,13 +2,16 @@
 
 A text is read as bytes: A-Z are lowered and every byte outside 0-9, a-z and 0x80-0xFF ends a word. The words,
 joined by single spaces, are searched for notice phrases and for the identifier tag in one automaton pass.
-Where the tag stands, the expression behind it in the original line is parsed (or < and < with, brackets) and
-evaluated: every licence it names becomes a label, and an expression is open if one of its choices needs
-permissive licences only.
-
-Defined results: null or empty text has no words, no places, null first and last words, empty labels, score 0.
-Ties: places at the same word count once per phrase. Repeated rows are scanned one by one; only doc_id and text
-are read.
+Where the tag stands, the expression behind it in the original line is read: the leading run of names joined by or, and,
+with or a slash, with brackets anywhere. Every licence it names becomes a label, also where the brackets do not match;
+the name behind a `with` is an exception and no label. A well-formed expression (or < and < with) is parsed and
+evaluated: it is open if one of its choices needs permissive licences only. Notices that stand in one sentence, joined by
+such words ("under the MIT license or the Apache License, version 2"), are an expression of the same kind.
+
+Defined results: null or empty text has no words, no places, null first and last words, empty labels, score 0; an
+empty table gives no rows. Very long texts are scanned whole. Ties: places at the same word count once per phrase; of
+notices that overlap the longest is part of an expression, and all are labels. Repeated rows are scanned one by one;
+only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -40,23 +43,42 @@ NOTICES = {
     "permission is hereby granted free of charge": "mit",
 }
 TAG = "spdx license identifier"
-#: Licences that ask for no more than a notice.
-PERMISSIVE = frozenset("mit apache-2.0 apache-2 bsd bsd-2-clause bsd-3-clause isc zlib bsl bsl-1.0 unlicense cc0-1.0 0bsd".split())
+#: Fixed: identifiers of licences that ask for no more than a notice, and the labels of notices that mean them.
+PERMISSIVE = frozenset(
+    "0bsd afl-3.0 apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause "
+    "bsl-1.0 cc-by-4.0 cc0-1.0 curl ecl-2.0 fsfap isc mit mit-0 mit-modern-variant ms-pl ncsa ofl-1.1 openssl php-3.01 postgresql psf-2.0 python-2.0 unicode-3.0 "
+    "unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1 apache-2 bsd bsl".split()
+)
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, open boolean"
 
-#: Bytes to lower-case word bytes or spaces.
+#: A-Z lowered; bytes to lower-case word bytes or spaces.
+LOWERED = bytes((c + 32 if 65 <= c <= 90 else c) for c in range(256))
 WORDS = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
-_EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
+#: The tag and the rest of its line; the run of names behind it; exceptions; names. The same patterns serve in SQL.
+_TAG_LINE = r"(?:^|[^0-9a-z\x{80}-\x{10FFFF}])spdx-license-identifier:[ \t]*([^\r\n]*)"
+_NAME = r"[a-z0-9][a-z0-9.+-]*"
+_RUN = rf"^[ \t()]*{_NAME}(?:[ \t()]*/[ \t()]*{_NAME}|[ \t()]+(?:or|and|with)[ \t()]+{_NAME})*[ \t()]*"
+_EXCEPTION = rf"[ \t()]with[ \t()]+{_NAME}"
+_TAG_OF = re.compile(_TAG_LINE.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010FFFF"))
+_RUN_OF, _EXCEPTION_OF, _NAMES_OF = re.compile(_RUN), re.compile(_EXCEPTION), re.compile(_NAME)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_SLASH = re.compile(r"(?<=[A-Za-z0-9.+)-])[ \t]*/[ \t]*(?=[(A-Za-z0-9])")
 _RANK = {"or": 1, "and": 2, "with": 3}
+#: Words that may stand between two notices of one sentence, beside or, and, with.
+_BETWEEN = frozenset("either the a an any under of terms at your option license licence licenses licensed version later both".split())
 
 
 def parse_expression(text: str) -> list[str] | None:
-    """Reverse Polish form of a licence expression by shunting-yard; None where it is malformed."""
+    """Reverse Polish form of a licence expression, prose behind it left out; None where it is malformed."""
+    return parse_tokens(_TOKEN.findall(_SLASH.sub(" or ", text)))
+
+
+def parse_tokens(tokens: list[str]) -> list[str] | None:
+    """Reverse Polish form by shunting-yard."""
     output: list[str] = []
     stack: list[str] = []
     want_name = True
-    for token in _TOKEN.findall(text):
+    for token in tokens:
         low = token.lower()
         if low in _RANK:
             if want_name:
@@ -118,15 +140,42 @@ def automaton(base=BASE, notices=NOTICES) -> ahocorasick.Automaton:
     return found
 
 
+def tagged_names(line: str) -> tuple[list[str], str]:
+    """(licences, run) of the lower-case rest of a tag's line: all names in the leading run, but not the exceptions."""
+    run = _RUN_OF.match(line)
+    if run is None:
+        return [], ""
+    return [x for x in _NAMES_OF.findall(_EXCEPTION_OF.sub(" ", run[0])) if x not in _RANK], run[0]
+
+
+def sentences(joined: str, places: list[tuple[int, int, str]]) -> list[list[str]]:
+    """Expressions of notices, as tokens. places: (first, end, label) of notices in the joined words."""
+    longest: list[tuple[int, int, str]] = []
+    for a, b, label in sorted(places, key=lambda p: (p[0], -p[1])):
+        if not longest or a >= longest[-1][1] - 1:
+            longest.append((a, b, label))
+    found: list[list[str]] = []
+    end = None
+    for a, b, label in longest:
+        # Notices share the space between them.
+        between = joined[end:a].split() if end is not None and a - end < 80 else None
+        joins = [w for w in between or () if w in _RANK]
+        if joins and all(w in _RANK or w in _BETWEEN for w in between):
+            found[-1] += [joins[0], label]
+        else:
+            found.append([label])
+        end = b
+    return found
+
+
 def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, open) of one text."""
     words = text.translate(WORDS).split()
     joined = f" {b' '.join(words).decode('latin-1')} "
-    places: set[tuple[int, str]] = set()
     base, labels, tagged = set(), set(), False
     n_base, first, last = 0, None, None
     counted = at_word = 0
-    starts = []
+    starts, places = [], []
     for end, (length, base_label, label, tag) in machine.iter(joined):
         start = end - length + 1
         if base_label:
@@ -135,6 +184,8 @@ def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple:
             starts.append(start)
         if label:
             labels.add(label)
+        if base_label or label:
+            places.append((start, end + 1, label or base_label))
         tagged |= tag
     if starts:
         starts.sort()
@@ -142,18 +193,20 @@ def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple:
             at_word += joined.count(" ", counted, start + 1)
             counted = start + 1
             first, last = (at_word - 1 if first is None else first), at_word - 1
-    free = None
+    free, named = None, False
     if tagged:
-        for m in _EXPRESSION.finditer(text):
-            rpn = parse_expression(m[1].decode("utf-8", "replace"))
+        for line in _TAG_OF.findall(text.translate(LOWERED).decode("utf-8", "replace")):
+            names, run = tagged_names(line)
+            labels |= set(names)
+            named |= bool(names)
+            rpn = parse_expression(run)
             if rpn:
-                named, is_open = evaluate(rpn)
-                labels |= named
+                is_open = evaluate(rpn)[1]
                 free = is_open if free is None else free and is_open
     labels |= base
-    score = 1.0 if free is not None else 0.9 if n_base else 0.7 if labels else 0.0
-    if labels and free is None:
-        free = all(x in PERMISSIVE for x in labels)
+    score = 1.0 if named else 0.9 if n_base else 0.7 if labels else 0.0
+    if free is None and places and not named:
+        free = all(evaluate(parse_tokens(tokens))[1] for tokens in sentences(joined, places))
     return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, free
 
 
@@ -178,7 +231,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same in SQL over word lists. A tag's expression is taken to be well formed: all its names are labels."""
+    """The same in SQL over word lists and the tag's patterns."""
 
     def starts(phrase: str) -> str:
         words = phrase.split()
@@ -187,10 +240,12 @@ def _oracle() -> str:
 
     base = ", ".join(f"list_transform({starts(p)}, lambda i: {{'at': i - 1, 'label': '{label}'}})" for p, label in BASE.items())
     more = ", ".join(f"CASE WHEN len({starts(p)}) > 0 THEN ['{label}'] ELSE [] END" for p, label in NOTICES.items())
-    names = r"list_filter(regexp_extract_all(lower(array_to_string(regexp_extract_all(coalesce(text, ''), '(?i)spdx-license-identifier:[ \t]*([^\r\n]*)', 1), ' or ')), '[a-z0-9][a-z0-9.+-]*'), lambda x: x NOT IN ('or', 'and', 'with'))"
+    runs = f"list_transform(regexp_extract_all(low, '{_TAG_LINE}', 1), lambda x: regexp_replace(regexp_extract(x, '{_RUN}'), '{_EXCEPTION}', ' ', 'g'))"
+    names = f"list_filter(flatten(list_transform({runs}, lambda x: regexp_extract_all(x, '{_NAME}'))), lambda x: x NOT IN ('or', 'and', 'with'))"
     return rf"""
-WITH d AS (SELECT doc_id, text, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-f AS (SELECT doc_id, len(w) AS n_words, flatten([{base}]) AS b, flatten([{more}]) AS m, {names} AS t FROM d),
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
+e AS (SELECT doc_id, low, list_filter(string_split_regex(low, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM d),
+f AS (SELECT doc_id, len(w) AS n_words, flatten([{base}]) AS b, flatten([{more}]) AS m, {names} AS t FROM e),
 g AS (SELECT *, list_sort(list_distinct(list_transform(b, lambda x: x.label))) AS bl FROM f),
 h AS (SELECT *, list_sort(list_distinct(list_concat(bl, m, t))) AS al FROM g)
 SELECT doc_id, n_words, len(b) AS n_base, list_min(list_transform(b, lambda x: x.at)) AS first_word, list_max(list_transform(b, lambda x: x.at)) AS last_word,

@@ -1,6 +1,7 @@
 import re
 
 import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,38 @@ def test_expressions():
     assert (labels, base, score, is_open) == ("gpl-2.0,mit", "", 1.0, True)
 
 
+TAGGED = [
+    "// SPDX-License-Identifier: GPL-2.0 OR MIT", "SPDX-License-Identifier: (MIT", "spdx-license-identifier:MIT/Apache-2.0, then more prose", "SPDX-License-Identifier: OR MIT",
+    "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 OR (ISC AND 0BSD)\nx\nSPDX-License-Identifier:\tZlib", "xSPDX-License-Identifier: MIT", "SPDX-License-Identifier:",
+    "\u00e9SPDX-License-Identifier: MIT", "-SPDX-License-Identifier: MIT)) or (bsd-3-clause", "SPDX License Identifier MIT", "SPDX-License-Identifier: \u00fc MIT", "SPDX-License-Identifier: LicenseRef-X+ and", None, "",
+    "under the mit license SPDX-License-Identifier: MPL-2.0", "SPDX-License-Identifier: WITH with x OR y", "Mozilla Public License or under the MIT license", "gnu general public license version 2 or later",
+]
+
+
+def test_sql_and_operator_agree_on_tags(spark, tmp_path):
+    docs = pa.table({"doc_id": list(range(len(TAGGED))), "text": pa.array(TAGGED, pa.string())})
+    pq.write_table(docs, tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet')")
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    expected = sorted(con.sql(license_scan.ORACLE).select(*columns).fetchall())
+    got = sorted(tuple(r) for r in license_scan.op7_license_scan(spark, str(tmp_path)).select(*columns).collect())
+    assert got == expected
+    labels = {r[0]: r[6] for r in got}
+    assert labels[0] == "gpl-2.0,mit" and labels[1] == "mit" and labels[2] == "apache-2.0,mit" and labels[4] == "0bsd,gpl-2.0-or-later,isc,zlib"
+    assert labels[5] == labels[6] == labels[7] == "" and labels[8] == "bsd-3-clause,mit" and labels[14] == "mit,mpl-2.0"
+
+
+def test_notices_of_a_sentence_are_an_expression():
+    machine = license_scan.automaton()
+    is_open = lambda text: license_scan.scan(text.encode(), machine)[-1]
+    assert is_open("under the GNU General Public License or, at your option, under the MIT license") is True
+    assert is_open("under the GNU General Public License and under the MIT license") is False
+    assert is_open("GNU General Public License. We like things. Under the MIT license") is False
+    assert is_open("Apache License, Version 2 or the Mozilla Public License and the Eclipse Public License") is True
+    assert is_open("SPDX-License-Identifier: (MIT") is None and is_open("nothing") is None
+
+
 def test_url_sql_gives_the_same_rows(spark):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from read_parquet('{SF}/pages.parquet')")
