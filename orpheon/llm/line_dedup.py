@@ -1,24 +1,26 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are compared as bytes, A-Z lowered, without white space at the ends; empty lines are not compared. Two
-lines of at least SHORT bytes are linked if their edit distance is at most `edits`; shorter lines only if equal.
-Equal lines are one node, so copies cost one row each and never a pair.
-
-A line is cut into edits + 1 even segments. If a line t is within `edits` of a line s that is not longer, then
-some segment of s stands in t, starting at most a few bytes away from its own place; which places come into
-question follows from the segment's number and the difference in length (multi-match-aware selection). Each line
-is indexed by its segments under its own length, and probes the lengths down to `edits` less with those few
-substrings. Lines that meet under a key are first compared by a signature, 32 counters of bytes by class, which
-edits can only move a little, and what is left is verified by a banded bit-parallel edit distance.
-
-The 32 counters fall into five sets, of which one at least is unchanged between linked lines (2 * edits < 5). So
-the lines of a key are compared within equal values of each set in turn, with no loss; a key with more than
-`crowd` lines is dealt out again by those values, and never held by one task.
+Lines are compared as bytes, A-Z lowered, without white space at the ends; empty lines are not compared. Two lines are
+linked if their edit distance is at most edits_of() of the shorter one: one edit for each SHORT bytes, up to `edits`;
+lines of less than SHORT bytes only if equal. Equal lines are one node, so copies cost one row each and never a pair.
+
+A line s is cut into one segment more than its edits, all about as long. If a line t that is not shorter is linked with
+s, some segment of s stands in t, starting at most a few bytes away from its own place; which places come into question
+follows from the segment's number and the difference in length (multi-match-aware selection). Each line is indexed by
+its segments under its own length, and probes the lengths down to its edits less with those few substrings. Lines that
+meet under a key are first compared by a signature, 64 bits that say of which classes of byte pairs a line has an odd
+number; an edit changes four at most. What is left is verified by a banded bit-parallel edit distance.
+
+The 64 bits fall into 4 * edits + 1 sets, of which one at least is unchanged between linked lines. So the lines of a
+larger key are compared within equal values of each set in turn, with no loss; a key with more than `crowd` lines is
+dealt out again by those values, and what is still a crowd is cut into blocks of about crowd / 2 lines, of which every
+two meet in a task of their own. So no task holds more than about `crowd` lines of a key, and only pairs that the
+signature lets pass are written.
 
 Classes are connected components of links; a class's first line is the one with the smallest doc_id, text hash
-and line number. Defined results: null and empty texts have no lines. Rows with equal doc_id and text are one
-document. Very long lines are compared whole. Only doc_id and text are read; the pipeline stage carries other
-columns in a struct.
+and line number. Defined results: null and empty texts have no lines; an empty table gives no rows. Rows with equal
+doc_id and text are one document. Very long lines are compared whole. Only doc_id and text are read, so other columns
+cannot clash; the pipeline stage carries them in a struct.
 """
 
 from __future__ import annotations
@@ -36,14 +38,16 @@ from .bloom import prefilter
 from .common import bounded_batches, mix, stored, table
 from .graph import components
 
-EDITS, SHORT, CROWD = 2, 24, 100_000
+EDITS, SHORT, CROWD = 2, 12, 100_000
 #: Lines whose keys a task remembers to have emitted.
 SEEN = 500_000
-#: The letters a to z count each for itself, all other bytes in six classes.
-_CLASS = np.array([c - 97 if 97 <= c <= 122 else 26 + c % 6 for c in range(256)], np.int64)
 #: Lines of one key that are compared each with each.
 FEW = 256
-_SETS = [(0, 7), (7, 13), (13, 20), (20, 26), (26, 32)]
+
+
+def edits_of(size: int, edits: int) -> int:
+    """The edits within which a line of this size is linked with longer ones."""
+    return min(edits, size // SHORT)
 
 
 def lines_of(text: bytes) -> list[bytes]:
@@ -67,35 +71,37 @@ def plan_of(size: int, edits: int) -> list[tuple[int, int, int]]:
     if found is None:
         found = []
         for less in range(edits + 1):
-            if size - less < SHORT:
+            own = edits_of(size - less, edits)
+            if size - less < SHORT or less > own:
                 break
-            for k, (start, n) in enumerate(segments(size - less, edits)):
-                low = max(start - k, start + less - (edits - k), 0)
-                high = min(start + k, start + less + (edits - k), size - n)
+            for k, (start, n) in enumerate(segments(size - less, own)):
+                low = max(start - k, start + less - (own - k), 0)
+                high = min(start + k, start + less + (own - k), size - n)
                 found += [((size - less) * (edits + 1) + k, p, p + n) for p in range(low, high + 1)]
         if len(_PLANS) < 20_000:
             _PLANS[size, edits] = found
     return found
 
 
-def counters(lines: list[bytes]) -> np.ndarray:
-    """32 counters of 2 bits for each line: how many bytes of each class it has, modulo 4."""
+def signatures(lines: list[bytes]) -> np.ndarray:
+    """64 bits for each line: of which classes of pairs of neighbouring bytes it has an odd number."""
     sizes = np.array([len(x) for x in lines], np.int64)
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    counts = np.bincount(np.repeat(np.arange(len(lines)), sizes) * 32 + _CLASS[data], minlength=32 * len(lines)).reshape(-1, 32) & 3
-    return (counts.astype(np.uint64) << (2 * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64)
+    after = np.concatenate([data[1:], data[:1]])
+    bit = np.uint64(1) << (((data << np.uint64(8) | after) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+    bit[starts + sizes - 1] = 0  # a line's last byte has no neighbour
+    return np.bitwise_xor.reduceat(bit, starts)
 
 
-_ODD = np.uint64(0x5555555555555555)
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b)
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Summed difference of the counters of a and b (broadcast together), each modulo 4: 0, 1, 2 or 1 for 0 to 3 up."""
-    # Each pair of bits of a minus its pair of b, modulo 4, without borrows between pairs.
-    high = _ODD << np.uint64(1)
-    d = ((a | high) - (b & _ODD)) ^ ((a ^ ~b) & high)
-    low, top = d & _ODD, d >> np.uint64(1) & _ODD
-    return np.bitwise_count(low) + 2 * np.bitwise_count(top & ~low)
+def sets_of(edits: int) -> list[tuple[int, int]]:
+    """(first bit, end) of the sets of which linked lines have one in common: more than the bits that edits change."""
+    n = 4 * edits + 1
+    return [(64 * k // n, 64 * (k + 1) // n) for k in range(n)]
 
 
 def edit_distance(a: bytes, b: bytes, most: int) -> int:
@@ -170,7 +176,7 @@ def flat(lines: DataFrame) -> DataFrame:
 
 
 def scan_keys(docs: DataFrame, edits: int) -> DataFrame:
-    """key, line (Spark's xxhash64 of its hash), counts: where each different line is found, and where it looks."""
+    """key, line (Spark's xxhash64 of its hash), marks (its signature): where each different line is found, and where it looks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -192,13 +198,13 @@ def scan_keys(docs: DataFrame, edits: int) -> DataFrame:
                     keys += [xxhash.xxh3_64_intdigest(x[a:b], s) for s, a, b in plan]
                     n.append(len(plan))
                 ids = np.array([xxhash.xxh64_intdigest(h, 42) for h in hashes[first : first + 4096]], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(counters(part).view(np.int64), n))], ["key", "line", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(signatures(part).view(np.int64), n))], ["key", "line", "marks"])
 
-    return docs.select("text").mapInArrow(run, "key long, line long, counts long")
+    return docs.select("text").mapInArrow(run, "key long, line long, marks long")
 
 
 def _close(line: np.ndarray, marks: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (smaller line, larger line) whose counters are at most `most` apart. line: sorted and distinct."""
+    """Pairs (smaller line, larger line) whose signatures are at most `most` bits apart. line: sorted and distinct."""
     for first in range(0, len(line), 256):
         x, y = np.nonzero(_apart(marks[first : first + 256, None], marks[None, first:]) <= most)
         later = y > x
@@ -207,11 +213,13 @@ def _close(line: np.ndarray, marks: np.ndarray, most: int) -> Iterator[tuple[np.
 
 
 def _set_values(marks: np.ndarray, low: int, high: int) -> np.ndarray:
-    return marks >> np.uint64(2 * low) & np.uint64((1 << 2 * (high - low)) - 1)
+    return marks >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
 
 
-def meet(keys: DataFrame, edits: int, crowd: int | None) -> DataFrame:
-    """kind, a, b, c: pairs (0, line, line, -) whose counters allow a link; for crowds, refined keys (1, key, line, counts)."""
+def meet(keys: DataFrame, edits: int, crowd: int | None, refine: bool = False) -> DataFrame:
+    """kind, a, b, c: pairs (0, line, line, -) whose signatures allow a link; rows of crowds (1, key, line, marks), with
+    keys that also say the value of a set of bits if `refine`."""
+    sets = sets_of(edits)
 
     def rows(kind: int, a, b, c) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c)], ["kind", "a", "b", "c"])
@@ -220,7 +228,10 @@ def meet(keys: DataFrame, edits: int, crowd: int | None) -> DataFrame:
         return rows(0, a, b, np.zeros(len(a), np.int64))
 
     def crowded(key: int, line: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s, (low, high) in enumerate(_SETS):
+        if not refine:
+            yield rows(1, np.full(len(line), key), line, marks.view(np.int64))
+            return
+        for s, (low, high) in enumerate(sets):
             fine = mix(mix(_set_values(marks, low, high) + np.uint64(s << 32)) + np.array([key]).view(np.uint64))
             yield rows(1, fine.view(np.int64), line, marks.view(np.int64))
 
@@ -228,30 +239,27 @@ def meet(keys: DataFrame, edits: int, crowd: int | None) -> DataFrame:
         line, which = np.unique(line, return_index=True)
         marks = marks[which]
         if len(line) <= FEW:
-            for a, b in _close(line, marks, 2 * edits):
+            for a, b in _close(line, marks, 4 * edits):
                 yield found(a, b)
             return
-        pairs = []
-        for low, high in _SETS:
+        for low, high in sets:
             value = _set_values(marks, low, high)
             order = np.argsort(value, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
                 if len(at) > 1:
-                    pairs += [np.stack(p) for p in _close(line[at], marks[at], 2 * edits)]
-        if pairs:
-            a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            yield found(a, b)
+                    for a, b in _close(line[at], marks[at], 4 * edits):
+                        yield found(a, b)
 
-    def pairs(key: np.ndarray, line: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: np.ndarray, line: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[begin, len(key)])
         two = begin[size == 2]  # most groups that matter
-        two = two[(line[two] != line[two + 1]) & (_apart(counts[two], counts[two + 1]) <= 2 * edits)] if len(two) else two
+        two = two[(line[two] != line[two + 1]) & (_apart(marks[two], marks[two + 1]) <= 4 * edits)] if len(two) else two
         if len(two):
             yield found(np.minimum(line[two], line[two + 1]), np.maximum(line[two], line[two + 1]))
         for k in np.flatnonzero(size > 2).tolist():
             at = slice(begin[k], begin[k] + size[k])
-            yield from group(line[at], counts[at])
+            yield from group(line[at], marks[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
@@ -278,18 +286,36 @@ def meet(keys: DataFrame, edits: int, crowd: int | None) -> DataFrame:
             yield from pairs(*held)
 
     parts = max(8, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return keys.select("key", "line", "counts").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "kind int, a long, b long, c long")
+    return keys.select("key", "line", "marks").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "kind int, a long, b long, c long")
+
+
+def _again(met: DataFrame) -> DataFrame:
+    """The rows of crowds of meet(), as keys; a line that a key has twice counts once."""
+    return met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("line"), F.col("c").alias("marks")).distinct()
+
+
+def in_blocks(keys: DataFrame, crowd: int) -> DataFrame:
+    """keys whose lines are dealt into blocks of about crowd / 2, with a new key for every two blocks of one key."""
+    n = keys.groupBy("key").agg(F.ceil(F.count("*") / (crowd / 2)).cast("int").alias("blocks"))
+    rows = keys.join(n, "key").withColumn("mine", F.pmod(F.xxhash64("line", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "line", "marks")
 
 
 def line_links(docs: DataFrame, lines: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
-    """(u, v) with u < v: different lines within `edits`. docs: doc_id, hash, text; lines: of flat()."""
-    if not 0 <= edits <= 2:
-        raise ValueError("the counters' five sets allow at most two edits")
+    """(u, v) with u < v: different lines that are linked. docs: doc_id, hash, text; lines: of flat()."""
+    if not 0 <= edits <= 12:
+        raise ValueError("the signature's bits are told apart for at most twelve edits")
     spark = docs.sparkSession
-    met = stored(spark, meet(scan_keys(docs, edits), edits, crowd), "met")
+    met = stored(spark, meet(scan_keys(docs, edits), edits, crowd, refine=True), "met")
     pairs = met.where("kind = 0").select("a", "b")
-    crowds = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("line"), F.col("c").alias("counts"))
-    pairs = pairs.union(meet(crowds, edits, None).select("a", "b"))
+    crowds = _again(met)
+    if not crowds.isEmpty():
+        met = stored(spark, meet(crowds, edits, crowd), "met")
+        pairs = pairs.union(met.where("kind = 0").select("a", "b"))
+        left = stored(spark, _again(met), "crowds")
+        if not left.isEmpty():
+            pairs = pairs.union(meet(in_blocks(left, crowd), edits, None).select("a", "b"))
     pairs = stored(spark, pairs.distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     asked = stored(spark, asked, "asked")
@@ -311,7 +337,10 @@ def line_links(docs: DataFrame, lines: DataFrame, edits: int = EDITS, crowd: int
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [edit_distance(x, y, edits) <= edits for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                most = edits_of(min(len(x), len(y)), edits)
+                keep.append(edit_distance(x, y, most) <= most)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "x", "y").mapInArrow(verify, "u binary, v binary").distinct()

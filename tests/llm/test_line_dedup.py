@@ -45,14 +45,18 @@ def test_banded_distance_equals_plain(most):
         assert line_dedup.edit_distance(a, b, most) == min(distance(a, b), most + 1)
 
 
-def test_segments_meet_for_every_close_pair():
+@pytest.mark.parametrize("most", [1, 2, 5])
+def test_segments_meet_for_every_linked_pair(most):
     rng = random.Random(8)
-    for _ in range(3000):
-        a = near_words(rng, rng.randrange(26, 80))
-        b = edit(a, rng.randrange(0, 3), rng)
-        if min(len(a), len(b)) >= line_dedup.SHORT and distance(a, b) <= 2:
-            keys = [{(s, x[p:q]) for s, p, q in line_dedup.plan_of(len(x), 2)} for x in (a, b)]
+    met = 0
+    for _ in range(4000):
+        a = near_words(rng, rng.randrange(8, 90))
+        b = edit(a, rng.randrange(0, most + 1), rng)
+        if distance(a, b) <= line_dedup.edits_of(min(len(a), len(b)), most) and min(len(a), len(b)) >= line_dedup.SHORT:
+            met += 1
+            keys = [{(s, x[p:q]) for s, p, q in line_dedup.plan_of(len(x), most)} for x in (a, b)]
             assert keys[0] & keys[1]
+    assert met > 1000
 
 
 def brute(docs, edits=2):
@@ -73,7 +77,8 @@ def brute(docs, edits=2):
 
     for i, a in enumerate(names):
         for b in names[:i]:
-            if min(len(a), len(b)) >= line_dedup.SHORT and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            most = min(edits, min(len(a), len(b)) // 12)
+            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
                 links[a] += 1
                 links[b] += 1
                 parent[find(a)] = find(b)
@@ -89,7 +94,7 @@ def brute(docs, edits=2):
 
 def corpus():
     rng = random.Random(11)
-    base = [near_words(rng, rng.randrange(26, 70)) for _ in range(12)]
+    base = [near_words(rng, rng.randrange(26, 70)) for _ in range(12)] + [near_words(rng, rng.randrange(9, 27)) for _ in range(4)]
     docs = [(0, None), (1, ""), (2, "\n \n\t"), (3, "No.\nNo.\nno. \nNo"), (4, "q" * 30000 + "\n" + "q" * 30001)]
     for i in range(10, 70):
         docs.append((i, "\n".join(edit(rng.choice(base), rng.randrange(0, 4), rng).decode() for _ in range(rng.randrange(1, 6)))))
@@ -155,15 +160,46 @@ def test_whole_table_equals_brute_force_on_a_small_scale(spark):
             assert rows[doc_id].line_class == [first[x] for x in lines]
 
 
-def test_counters_move_as_far_as_they_say():
-    import numpy as np
-
+def test_an_edit_moves_four_bits_at_most():
     rng = random.Random(6)
-    lines = [near_words(rng, 40 + k % 9) for k in range(60)]
-    marks = line_dedup.counters(lines)
-    plain = lambda x, y: sum(min((p - q) % 4, (q - p) % 4) for p, q in zip(x, y, strict=True))
-    split = [[int(m) >> 2 * k & 3 for k in range(32)] for m in marks]
-    assert (line_dedup._apart(marks[:, None], marks[None, :]) == np.array([[plain(a, b) for b in split] for a in split])).all()
+    for _ in range(3000):
+        a = near_words(rng, rng.randrange(3, 50))
+        k = rng.randrange(3)
+        b = edit(a, k, rng)
+        one, two = line_dedup.signatures([a, b])
+        assert line_dedup._apart(one, two) <= 4 * k and line_dedup.signatures([b])[0] == two
+    for edits in (0, 1, 2, 12):
+        sets = line_dedup.sets_of(edits)
+        assert len(sets) == 4 * edits + 1 and sets[0][0] == 0 and sets[-1][1] == 64 and all(a < b for a, b in sets) and all(x[1] == y[0] for x, y in zip(sets, sets[1:], strict=False))
+
+
+def test_a_crowd_of_template_lines(spark):
+    """20,000 lines that differ in a number: no key is held whole, and the links are those of the numbers."""
+    rng = random.Random(9)
+    numbers = [f"{rng.randrange(10**8):08}" for _ in range(20_000)]
+    docs = [(k, f"order {x} was received and will be handled as soon as we can") for k, x in enumerate(numbers)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    by_rest = {}
+    for x in set(numbers):
+        rests = {x} | {x[:a] + x[a + 1 :] for a in range(8)}
+        for rest in rests | {r[:a] + r[a + 1 :] for r in rests for a in range(len(r))}:
+            by_rest.setdefault(rest, []).append(x)
+    links = dict.fromkeys(numbers, 0)
+    for a, b in {tuple(sorted((x, y))) for group in by_rest.values() for x in group for y in group if x < y}:
+        if distance(a.encode(), b.encode()) <= 2:
+            links[a] += 1
+            links[b] += 1
+    got = {r.doc_id: r.n_links for r in line_dedup.line_classes(frame, crowd=1000).collect()}
+    assert got == {k: links[x] for k, x in enumerate(numbers)} and sum(got.values()) > 1000
+
+
+def test_more_edits_of_longer_lines(spark):
+    rng = random.Random(12)
+    line = near_words(rng, 70).decode()
+    changed = line[:10] + "ZZZZ" + line[14:]
+    frame = spark.createDataFrame([(1, line), (2, changed)], "doc_id long, text string")
+    assert [r.n_links for r in line_dedup.line_classes(frame).collect()] == [0, 0]
+    assert [r.n_links for r in line_dedup.line_classes(frame, edits=4).collect()] == [1, 1]
 
 
 def test_stage_removes_all_repeats_but_near_copies(spark):
