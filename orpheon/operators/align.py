@@ -47,12 +47,13 @@ def events_in_clips(events: DataFrame, time: str, seconds: float, rate: float) -
     return events.withColumn("clip", clip).withColumn("frame", F.rint((F.col(time) - clip * seconds) * rate).cast("int"))
 
 
-def as_of(points: DataFrame, marks: DataFrame, key: str, time: str, value: str, default=None, strict: bool = False) -> DataFrame:
-    """points with the value of the last mark of the same key at or before (strictly before, if strict) their time.
+def as_of(points: DataFrame, marks: DataFrame, key: str, time: str, value: str, default=None, strict: bool = False, tolerance: float = 0.0) -> DataFrame:
+    """points with the value of the last mark of the same key at or before (strictly before, if strict) their time;
+    marks may be later by up to the tolerance (by less, if strict).
 
     Both sides meet in one window per key: union, sort, carry the last value forward."""
     order = F.lit(1 if strict else 0)
-    m = marks.select(F.col(key), F.col(time), F.col(value).alias("_value"), F.lit(True).alias("_mark"), order.alias("_order"))
+    m = marks.select(F.col(key), (F.col(time) - tolerance).alias(time) if tolerance else F.col(time), F.col(value).alias("_value"), F.lit(True).alias("_mark"), order.alias("_order"))
     p = points.withColumn("_value", F.lit(None).cast(marks.schema[value].dataType)).withColumn("_mark", F.lit(False)).withColumn("_order", F.lit(0 if strict else 1))
     w = Window.partitionBy(key).orderBy(time, "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = p.unionByName(m, allowMissingColumns=True).withColumn("_seen", F.last("_value", ignorenulls=True).over(w))
@@ -60,6 +61,26 @@ def as_of(points: DataFrame, marks: DataFrame, key: str, time: str, value: str,
     return both.where("not _mark").withColumn(value, seen).drop("_value", "_mark", "_order", "_seen")
 
 
+def required(found: DataFrame, value: str) -> DataFrame:
+    """The rows as they are, but a run-time error where one has no value."""
+    said = F.raise_error(F.lit(f"no mark applies: {value}")).cast(found.schema[value].dataType)
+    return found.withColumn(value, F.coalesce(F.col(value), said))
+
+
+def score_bridge(score: DataFrame, points: DataFrame, piece: str, digits: int = 3) -> DataFrame:
+    """(piece, id, point): notes of a score and the points of the same piece, pitch and time, once the points are shifted.
+
+    score: piece, id, pitch, t; points: piece, point, pitch, t. A piece's shift is the most frequent difference of times
+    between a point and a note of one pitch (the smallest of equally frequent ones); equal times are counted before they
+    are compared, so copies make no pairs."""
+    a = score.groupBy(piece, "pitch", "t").agg(F.count("*").alias("n"))
+    b = points.groupBy(piece, "pitch", F.col("t").alias("u")).agg(F.count("*").alias("m"))
+    apart = a.join(b, [piece, "pitch"]).groupBy(piece, F.round(F.col("u") - F.col("t"), digits + 1).alias("d")).agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+    shift = apart.groupBy(piece).agg(F.min_by("d", F.struct(-F.col("n"), F.col("d"))).alias("d"))
+    keyed = score.join(shift, piece).withColumn("at", F.round(F.col("t") + F.col("d"), digits)).drop("t", "d")
+    return keyed.join(points.withColumn("at", F.round("t", digits)).drop("t"), [piece, "pitch", "at"]).select(piece, "id", "point")
+
+
 def chord_frames(frames: DataFrame, chords: DataFrame, key: str, none: int = 24) -> DataFrame:
     """Frame labels of clips: (key, clip, frame, t, chord).
 

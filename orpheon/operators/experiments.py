@@ -46,6 +46,18 @@ def fold_summary(values: DataFrame, keys: list[str], value: str = "value") -> Da
     return each
 
 
+def best_by(values: DataFrame, group: list[str], by: str, layer: str = "layer") -> DataFrame:
+    """The row of each group with the highest `by` (the lowest layer on ties); rows without it do not count."""
+    order = F.struct(F.col(by), -F.col(layer))
+    rest = [c for c in values.columns if c not in group]
+    return values.where(F.col(by).isNotNull()).groupBy(*group).agg(F.max_by(F.struct(*rest), order).alias("best")).select(*group, "best.*")
+
+
+def window_layer_grid(values: DataFrame, window: str, layers: list[int], value: str, layer: str = "layer") -> DataFrame:
+    """One row for each layer, one column for each window met."""
+    return values.where(F.col(layer).isin(layers)).groupBy(layer).pivot(window).agg(F.max(value))
+
+
 def top_k(values: DataFrame, group: list[str], value: str, tie: str, k: int, highest: bool = True) -> DataFrame:
     order = F.desc(value) if highest else F.asc(value)
     return values.withColumn("rk", F.row_number().over(Window.partitionBy(*group).orderBy(order, tie))).where(F.col("rk") <= k)

@@ -182,6 +182,23 @@ def error_rate(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     return s.select("edits", "tokens", F.when(F.col("tokens") > 0, F.col("edits") / F.col("tokens")).otherwise(F.when(F.col("h") > 0, 1.0).otherwise(0.0)).alias("rate"))
 
 
+def blank_share(df: DataFrame, tokens: str, blank) -> DataFrame:
+    """least, most and ratio: the smallest and largest token, and the share of the blank one, over all rows' arrays."""
+    one = F.filter(tokens, lambda x: x == blank)
+    sums = df.agg(F.min(F.array_min(tokens)).alias("least"), F.max(F.array_max(tokens)).alias("most"), F.sum(F.size(one)).alias("b"), F.sum(F.size(tokens)).alias("n"))
+    return sums.select("least", "most", F.when(F.col("n") > 0, F.col("b") / F.col("n")).otherwise(0.0).alias("ratio"))
+
+
+def mean_over_clips(df: DataFrame, clip: list[str], pred: str, target: str) -> DataFrame:
+    """accuracy, precision, recall and f1 of binary frames, taken clip by clip and then averaged; n_clips. A ratio
+    without a denominator is 0."""
+    hit = F.sum((F.col(pred) & F.col(target)).cast("int"))
+    said, true = F.sum(F.col(pred).cast("int")), F.sum(F.col(target).cast("int"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    each = df.groupBy(*clip).agg(F.avg((F.col(pred) == F.col(target)).cast("int")).alias("accuracy"), ratio(hit, said).alias("precision"), ratio(hit, true).alias("recall"), ratio(2 * hit, said + true).alias("f1"))
+    return each.agg(*(F.avg(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")), F.count("*").alias("n_clips"))
+
+
 def _mixed(x):
     """A finaliser that spreads 64-bit integers."""
     import numpy as np

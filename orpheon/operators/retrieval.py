@@ -11,7 +11,6 @@ item are skipped, never counted as 0.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -21,6 +20,8 @@ from pyspark.sql import functions as F
 
 TILE = 4096
 _ITEM = ["id", "vec", "work_id", "grp", "cond", "var"]
+#: Set-valued columns that items may have: letters make items relevant, a shared occurrence takes them out of a gallery.
+_SETS = ["letters", "occ_ids"]
 
 
 def items(df: DataFrame, id: Column, vec: Column, work_id: Column, group: Column | None = None, condition: Column | None = None, variation: Column | None = None) -> DataFrame:
@@ -52,12 +53,45 @@ def _allowed(q: pd.DataFrame, g: pd.DataFrame, twins: bool) -> np.ndarray:
         ok &= _column(q, "grp")[:, None] == _column(g, "grp")[None, :]
     if twins:
         ok &= ~((q["work_id"].to_numpy()[:, None] == g["work_id"].to_numpy()[None, :]) & (_column(q, "var")[:, None] == _column(g, "var")[None, :]))
+    if "occ_ids" in q:
+        ok &= ~_sharing(q["occ_ids"], g["occ_ids"])
     return ok
 
 
-def _tiled(queries: DataFrame, gallery: DataFrame, blocks: int, fn, schema: str) -> DataFrame:
-    b = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+def _sharing(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Whether each set of a and each of b have a member in common; members are gone through one by one."""
+    found = np.zeros((len(a), len(b)), bool)
+    rows: dict = {}
+    for side, sets in enumerate((a, b)):
+        for k, members in enumerate(sets):
+            for x in set(() if members is None else members):
+                rows.setdefault(x, ([], []))[side].append(k)
+    for mine, theirs in rows.values():
+        if mine and theirs:
+            found[np.ix_(mine, theirs)] = True
+    return found
+
+
+def _relevant(q: pd.DataFrame, g: pd.DataFrame) -> np.ndarray:
+    """Items of one work, or items that share a letter where there are letters."""
+    if "letters" in q:
+        return _sharing(q["letters"], g["letters"])
+    return q["work_id"].to_numpy()[:, None] == g["work_id"].to_numpy()[None, :]
+
+
+def _dealt(df: DataFrame, tile: int) -> tuple[DataFrame, bool]:
+    """df with the number of blocks of its group, by the group's size, and whether no group has more than one."""
+    sizes = df.groupBy("grp").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    if (sizes.agg(F.max("blocks")).first()[0] or 1) == 1:
+        return df.withColumn("blocks", F.lit(1)), True
+    sizes = sizes.withColumnRenamed("grp", "_grp")
+    return df.join(sizes, df["grp"].eqNullSafe(sizes["_grp"])).drop("_grp"), False
+
+
+def _tiled(queries: DataFrame, gallery: DataFrame, fn, schema: str) -> DataFrame:
+    """fn over tiles; rows say into how many blocks their group is dealt."""
+    b = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     q = queries.withColumn("qb", b).withColumn("gb", each).withColumn("asks", F.lit(True))
     g = gallery.withColumn("gb", b).withColumn("qb", each).withColumn("asks", F.lit(False))
 
@@ -74,20 +108,19 @@ def relevant_ranks(df: DataFrame, twins: bool = False, within_condition: bool =
 
     df: see items(). twins: candidates of the query's work and variation leave gallery and relevance.
     within_condition: ranks, n_rel and hits are taken within the candidates of g's condition."""
-    df = df.select(*_ITEM)
-    n = df.count()
-    blocks = max(1, math.ceil(n / tile))
+    extra = [c for c in _SETS if c in df.columns]
+    df, single = _dealt(df.select(*_ITEM, *extra), tile)
     asked = df if queries is None else df.where(queries)
 
     def similar(key, q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(g):
             return pd.DataFrame({"q": [], "g": [], "s": [], "gc": []})
-        rel = (q["work_id"].to_numpy()[:, None] == g["work_id"].to_numpy()[None, :]) & _allowed(q, g, twins)
+        rel = _relevant(q, g) & _allowed(q, g, twins)
         a, b = np.nonzero(rel)
         s = np.round(_unit(q["vec"]) @ _unit(g["vec"]).T, 12)
         return pd.DataFrame({"q": q["id"].to_numpy()[a], "g": g["id"].to_numpy()[b], "s": s[a, b], "gc": _column(g, "cond")[b]})
 
-    pairs = _tiled(asked, df, blocks, similar, "q long, g long, s double, gc long")
+    pairs = _tiled(asked, df, similar, "q long, g long, s double, gc long")
 
     def beaten(q: pd.DataFrame, g: pd.DataFrame, by_query: dict) -> list[pd.DataFrame]:
         s = np.round(_unit(q["vec"]) @ _unit(g["vec"]).T, 12)
@@ -113,14 +146,14 @@ def relevant_ranks(df: DataFrame, twins: bool = False, within_condition: bool =
             out.append(pd.DataFrame({"q": me, "g": rid, "beaten": counts, "gc": rc}))
         return out
 
-    if blocks == 1:
+    if single:
 
         def whole(key, q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
             found = similar(key, q, g)
             by_query = {k: (x["g"].to_numpy(), x["s"].to_numpy(), x["gc"].to_numpy()) for k, x in found.groupby("q")}
             return pd.concat(beaten(q, g, by_query) or [pd.DataFrame({"q": [], "g": [], "beaten": [], "gc": []})])
 
-        counted = _tiled(asked, df, 1, whole, "q long, g long, beaten long, gc long")
+        counted = _tiled(asked, df, whole, "q long, g long, beaten long, gc long")
     else:
         listed = pairs.groupBy("q").agg(F.collect_list(F.struct("g", "s", "gc")).alias("wanted"))
         with_wanted = asked.join(listed, asked["id"] == listed["q"]).drop("q")
@@ -130,7 +163,7 @@ def relevant_ranks(df: DataFrame, twins: bool = False, within_condition: bool =
             none = pd.DataFrame({"q": [], "g": [], "beaten": [], "gc": []})
             return pd.concat(beaten(q, g, by_query) or [none]) if len(q) and len(g) else none
 
-        counted = _tiled(with_wanted, df, blocks, part, "q long, g long, beaten long, gc long").groupBy("q", "g", "gc").agg(F.sum("beaten").alias("beaten"))
+        counted = _tiled(with_wanted, df, part, "q long, g long, beaten long, gc long").groupBy("q", "g", "gc").agg(F.sum("beaten").alias("beaten"))
     cond = asked.select(F.col("id").alias("q"), F.col("cond").alias("qc"))
     ranked = counted.withColumn("rk", F.col("beaten") + 1)
     own = ["q", "gc"] if within_condition else ["q"]
@@ -190,8 +223,7 @@ def score_histogram(df: DataFrame, bins: int = 50, tile: int = TILE) -> DataFram
 
     Pools: rel (same work, other variation), twin (same work and variation), distractor. Bins split [-1, 1] evenly;
     values outside are clamped and the last bin is closed. Pairs are counted inside the tiles."""
-    df = df.select(*_ITEM).withColumn("grp", F.lit(None).cast("long"))
-    blocks = max(1, math.ceil(df.count() / tile))
+    df, _ = _dealt(df.select(*_ITEM).withColumn("grp", F.lit(None).cast("long")), tile)
 
     def part(key, q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({c: [] for c in ("qc", "gc", "pool", "bin", "n", "total", "squares")})
@@ -211,7 +243,7 @@ def score_histogram(df: DataFrame, bins: int = 50, tile: int = TILE) -> DataFram
         out["pool"] = out["pool"].map({0: "rel", 1: "twin", 2: "distractor"})
         return out
 
-    found = _tiled(df, df, blocks, part, "qc long, gc long, pool string, bin int, n long, total double, squares double")
+    found = _tiled(df, df, part, "qc long, gc long, pool string, bin int, n long, total double, squares double")
     return found.where("qc <> -1 and gc <> -1").groupBy("qc", "gc", "pool", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
 
 
@@ -222,6 +254,23 @@ def pool_moments(histogram: DataFrame) -> DataFrame:
     return sums.select("qc", "gc", "pool", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("s") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))
 
 
+def pool_means(moments: DataFrame) -> DataFrame:
+    """within, twin, honest and distractor: means of the score pools, weighted by counts. `within` is of all relevant
+    pairs of equal conditions, the others of pairs of different ones: the twins, the relevant pairs of other variations,
+    and the rest. moments: of pool_moments(); a pool without pairs gives null."""
+
+    def mean(cells):
+        return F.sum(F.when(cells, F.col("n") * F.col("mean"))) / F.sum(F.when(cells, F.col("n")))
+
+    same, pool = F.col("qc") == F.col("gc"), F.col("pool")
+    return moments.agg(
+        mean(same & (pool != "distractor")).alias("within"),
+        mean(~same & (pool == "twin")).alias("twin"),
+        mean(~same & (pool == "rel")).alias("honest"),
+        mean(~same & (pool == "distractor")).alias("distractor"),
+    )
+
+
 def histogram_auc(histogram: DataFrame, a: str, b: str) -> DataFrame:
     """auc = P(a > b), half-weighted within a bin, from bins summed over all cells."""
     bins = histogram.groupBy("bin").agg(F.sum(F.when(F.col("pool") == a, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("pool") == b, F.col("n")).otherwise(0)).alias("b"))
@@ -230,47 +279,45 @@ def histogram_auc(histogram: DataFrame, a: str, b: str) -> DataFrame:
     return parts.agg((F.sum(F.col("a") * (F.col("before") + F.col("b") / 2)) / (F.sum("a") * F.sum("b"))).alias("auc"))
 
 
-def multilabel_ranks(df: DataFrame) -> DataFrame:
-    """Ranks inside groups with set-valued relevance: (q, grp, rk, rel).
+def multilabel_items(df: DataFrame, group: Column | None = None, id: Column | None = None) -> DataFrame:
+    """Items of relevant_ranks() with set-valued relevance. df: id, vec, grp, letters, occ_ids.
 
-    df: id, vec, grp, letters, occ_ids. A query has at least one letter; its gallery is its group without itself
-    and without items that share an occurrence; relevant items share a letter."""
-    from orpheon.functions.vectors import dot, l2_normalize
-
-    unit = df.withColumn("vec", l2_normalize(F.col("vec").cast("array<double>")))
-    q = unit.where(F.size("letters") > 0).alias("q")
-    g = unit.alias("g")
-    pairs = q.join(g, (F.col("q.grp") == F.col("g.grp")) & (F.col("q.id") != F.col("g.id")) & ~F.arrays_overlap("q.occ_ids", "g.occ_ids"))
-    s = F.round(dot(F.col("q.vec"), F.col("g.vec")), 12)
-    pairs = pairs.select(F.col("q.id").alias("q"), F.col("q.grp").alias("grp"), F.col("g.id").alias("g"), F.arrays_overlap("q.letters", "g.letters").alias("rel"), s.alias("s"))
-    return pairs.withColumn("rk", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "g"))).select("q", "grp", "g", "rk", "rel")
+    A query's gallery is its group without itself and without items that share an occurrence; relevant items share a
+    letter, so an item without letters is never a query with a relevant one."""
+    none = F.lit(None).cast("long")
+    return df.select(
+        (F.col("id") if id is None else id).cast("long").alias("id"),
+        F.col("vec").cast("array<double>").alias("vec"),
+        none.alias("work_id"),
+        (F.col("grp") if group is None else group).cast("long").alias("grp"),
+        none.alias("cond"),
+        none.alias("var"),
+        "letters",
+        "occ_ids",
+    )
 
 
-def map_of_ranked(ranked: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """map and n_queries over rows (q, rk, rel); queries without a relevant item are skipped."""
-    by = Window.partitionBy(*keys, "q").orderBy("rk")
-    hits = ranked.withColumn("hits", F.sum(F.col("rel").cast("int")).over(by))
-    each = hits.groupBy(*keys, "q").agg(F.sum(F.when(F.col("rel"), F.col("hits") / F.col("rk"))).alias("a"), F.count_if("rel").alias("n")).where("n > 0")
-    return each.groupBy(*keys).agg(F.avg(F.col("a") / F.col("n")).alias("map"), F.count("*").alias("n_queries"))
+def multilabel_map(df: DataFrame, tile: int = TILE) -> DataFrame:
+    """map and n_queries inside groups with set-valued relevance; df: see multilabel_items()."""
+    each = per_query(relevant_ranks(multilabel_items(df), tile=tile), ())
+    return each.agg(F.avg("ap").alias("map"), F.count("*").alias("n_queries"))
 
 
-def permutation_null(df: DataFrame, n_perms: int = 20, seed: int = 0) -> DataFrame:
+def permutation_null(df: DataFrame, n_perms: int = 20, seed: int = 0, tile: int = TILE) -> DataFrame:
     """map, null_mean, null_std (population), lift and p of the within-group MAP under shuffled letters.
 
     In each permutation the letters of a group are dealt out in the order of a hash of (seed, permutation, id);
-    galleries and orders stay. The ranking is computed once; only (permutation, query, item) letters are joined."""
-    ranked = multilabel_ranks(df).withColumn("one", F.lit(1))
-    real = map_of_ranked(ranked).select(F.col("map").alias("real"))
-    base = df.select("id", "grp", "letters")
-    spot = Window.partitionBy("grp")
-    at = base.withColumn("spot", F.row_number().over(spot.orderBy("id")))
-    perm = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perms))))
-    dealt = perm.withColumn("spot", F.row_number().over(Window.partitionBy("grp", "perm").orderBy(F.xxhash64(F.lit(seed), "perm", "id"), "id"))).select("grp", "perm", "spot", F.col("letters").alias("new"))
-    new = at.select("id", "grp", "spot").join(dealt, ["grp", "spot"]).select("id", "perm", "new")
-    pairs = ranked.select("q", "g", "rk")
-    pairs = pairs.join(new.select(F.col("id").alias("q"), "perm", F.col("new").alias("ql")), "q").join(new.select(F.col("id").alias("g"), "perm", F.col("new").alias("gl")), ["g", "perm"])
-    null = map_of_ranked(pairs.select("perm", "q", "rk", F.arrays_overlap("ql", "gl").alias("rel")), ("perm",))
-    stats = null.agg(F.avg("map").alias("null_mean"), F.stddev_pop("map").alias("null_std"), F.collect_list("map").alias("maps"))
-    both = real.crossJoin(stats)  # one row each
+    galleries and orders stay. Each permutation of a group is a group of its own to the tiles, which give the ranks of
+    relevant items only, so items are copied once for each permutation and pairs never."""
+    at = df.withColumn("spot", F.row_number().over(Window.partitionBy("grp").orderBy("id")))
+    perm = df.select("id", "grp", "letters", F.explode(F.sequence(F.lit(1), F.lit(n_perms))).alias("perm"))
+    dealt = perm.withColumn("spot", F.row_number().over(Window.partitionBy("grp", "perm").orderBy(F.xxhash64(F.lit(seed), "perm", "id"), "id"))).select("grp", "perm", "spot", "letters")
+    shuffled = at.drop("letters").join(dealt, ["grp", "spot"])
+    every = at.withColumn("perm", F.lit(0)).unionByName(shuffled).drop("spot")
+    turns = n_perms + 1
+    each = per_query(relevant_ranks(multilabel_items(every, F.col("grp") * turns + F.col("perm"), F.col("id") * turns + F.col("perm")), tile=tile), ())
+    maps = each.groupBy(F.pmod("q", F.lit(turns)).alias("perm")).agg(F.avg("ap").alias("map"))
+    null = F.when(F.col("perm") > 0, F.col("map"))
+    stats = maps.agg(F.max(F.when(F.col("perm") == 0, F.col("map"))).alias("real"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_std"), F.collect_list(null).alias("maps"))
     beats = F.size(F.filter("maps", lambda m: m >= F.col("real")))
-    return both.select(F.col("real").alias("map"), "null_mean", "null_std", (F.col("real") - F.col("null_mean")).alias("lift"), ((beats + 1) / (n_perms + 1)).alias("p"))
+    return stats.select(F.col("real").alias("map"), "null_mean", "null_std", (F.col("real") - F.col("null_mean")).alias("lift"), ((beats + 1) / turns).alias("p"))

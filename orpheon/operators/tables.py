@@ -85,14 +85,14 @@ def group_folds(sizes: dict[str, int], n_folds: int = 5, val_frac: float = 0.15,
 
 
 def round_robin_folds(names: list[str], n_folds: int = 5, seed: int = 0) -> list[dict[str, str]]:
-    """Shuffled once; fold k tests every n-th name, and the last sixth of the others validates."""
+    """Shuffled once; fold k tests every n-th name, and the last sixth of the others, two names at least, validates."""
     order = sorted(names)
     random.Random(seed).shuffle(order)
     out = []
     for k in range(n_folds):
         test = order[k::n_folds]
         rest = [x for x in order if x not in set(test)]
-        n_val = max(1, len(rest) // 6)
+        n_val = max(2, len(rest) // 6)
         out.append({**dict.fromkeys(test, "test"), **dict.fromkeys(rest[:-n_val], "train"), **dict.fromkeys(rest[-n_val:], "val")})
     return out
 

@@ -73,12 +73,12 @@ def as_of_strict(spark, sf_dir):
 CHORD = "CASE event_type WHEN 'click' THEN 3 WHEN 'error' THEN 24 WHEN 'purchase' THEN 17 ELSE 9 END"
 
 
-@Q.query("chord_frames", f"""WITH {EV}, c AS (SELECT user_id, t AS start, {CHORD} AS chord, lag({CHORD}) OVER (PARTITION BY user_id ORDER BY t, event_id) AS before, event_id FROM ev WHERE user_id < 40),
+@Q.query("chord_frames", f"""WITH {EV}, c AS (SELECT user_id, t AS start, {CHORD} AS chord, lag({CHORD}) OVER (PARTITION BY user_id ORDER BY t, event_id) AS before, event_id FROM ev),
 f AS (SELECT user_id, clip, frame, clip * 200000.0::DOUBLE AS clip_start, clip * 200000.0::DOUBLE + frame * 5000.0::DOUBLE AS t FROM (SELECT DISTINCT user_id FROM c), (SELECT unnest(range(5)) AS clip), (SELECT unnest(range(40)) AS frame)),
 j AS (SELECT f.*, c.start, c.chord, c.before FROM f ASOF LEFT JOIN c ON f.user_id = c.user_id AND f.t >= c.start)
 SELECT user_id, clip, frame, (CASE WHEN chord = 24 AND start > clip_start THEN coalesce(before, 24) ELSE coalesce(chord, 24) END)::INT AS chord FROM j""")
 def chord_frames(spark, sf_dir):
-    e = events(spark, sf_dir).where("user_id < 40")
+    e = events(spark, sf_dir)
     chord = F.when(F.col("event_type") == "click", 3).when(F.col("event_type") == "error", 24).when(F.col("event_type") == "purchase", 17).otherwise(9)
     chords = e.select("user_id", F.col("t").alias("start"), chord.alias("chord"))
     grid = F.explode(F.expr("flatten(transform(sequence(0, 4), c -> transform(sequence(0, 39), f -> struct(c as clip, f as frame))))")).alias("g")
@@ -101,7 +101,7 @@ def nearest_sample(spark, sf_dir):
     return e.select("vec_id", F.col("k").cast("long").alias("k"), A.sampled_label(F.col("v"), F.col("k"), F.col("vec_id") % 3, 10.0, 2.0).alias("label"))
 
 
-INTERVALS = "a AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, epoch(l_shipdate)::DOUBLE AS s, epoch(l_shipdate)::DOUBLE + 86400 * l_quantity AS e FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1), b AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, epoch(l_shipdate)::DOUBLE AS s, epoch(l_shipdate)::DOUBLE + 86400 * l_quantity AS e FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 2)"
+INTERVALS = "a AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, epoch(l_shipdate)::DOUBLE AS s, epoch(l_shipdate)::DOUBLE + 86400 * l_quantity AS e FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, epoch(l_shipdate)::DOUBLE AS s, epoch(l_shipdate)::DOUBLE + 86400 * l_quantity AS e FROM lineitem WHERE l_returnflag = 'A')"
 
 
 @Q.query("interval_overlap", f"WITH {INTERVALS} SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.k = b.k AND a.s < b.e AND a.e > b.s")
@@ -109,10 +109,10 @@ def interval_overlap(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     start = (F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1e6).cast("double")
 
-    def side(flag, no):
-        return l.where(f"l_returnflag = '{flag}' and l_linenumber = {no}").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), start.alias("start"), (start + 86400 * F.col("l_quantity")).alias("end"))
+    def side(flag):
+        return l.where(f"l_returnflag = '{flag}'").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), start.alias("start"), (start + 86400 * F.col("l_quantity")).alias("end"))
 
-    return A.interval_overlap_join(side("R", 1), side("A", 2), "k", 86400.0 * 30).select("a_id", "b_id")
+    return A.interval_overlap_join(side("R"), side("A"), "k", 86400.0 * 30).select("a_id", "b_id")
 
 
 @Q.query("window_bar_membership", "WITH b AS (SELECT l_orderkey AS piece, l_linenumber AS bar, l_returnflag AS letter FROM lineitem), w AS (SELECT piece, unnest(range(1, 7)) AS f FROM (SELECT DISTINCT piece FROM b)) SELECT w.piece, f AS first_bar, string_agg(DISTINCT letter, ',' ORDER BY letter) AS letters FROM w JOIN b ON b.piece = w.piece AND b.bar BETWEEN f AND f + 1 GROUP BY ALL")
@@ -229,10 +229,10 @@ def semi_anti(spark, sf_dir):
     return cached.crossJoin(missing)  # one row each
 
 
-@Q.query("key_set_operations", "SELECT 'union' AS op, count(*) AS n FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer WHERE c_nationkey < 5) UNION ALL SELECT 'intersect', count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 5) UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey FROM customer WHERE c_nationkey < 5 EXCEPT SELECT o_custkey FROM orders)")
+@Q.query("key_set_operations", "SELECT 'union' AS op, count(*) AS n FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer) UNION ALL SELECT 'intersect', count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer) UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)")
 def key_set_operations(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    c = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("k"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     out = [("union", o.union(c).distinct()), ("intersect", o.intersect(c)), ("except", c.exceptAll(o.distinct().join(c, "k", "left_semi")).distinct())]
     parts = [d.agg(F.count("*").alias("n")).select(F.lit(n).alias("op"), "n") for n, d in out]
     return parts[0].union(parts[1]).union(parts[2])
@@ -292,11 +292,17 @@ def two_index_intersect(spark, sf_dir):
     return a.join(b, "doc_id", "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
-@Q.query("score_bridge", "WITH a AS (SELECT event_id, event_id % 12 AS pitch, value AS t FROM events WHERE event_id < 120), b AS (SELECT event_id AS id, event_id % 12 AS pitch, value + 2.5 AS t FROM events WHERE event_id < 120), s AS (SELECT round(b.t - a.t, 4) AS d, count(*) AS n FROM a JOIN b USING (pitch) GROUP BY 1), m AS (SELECT d FROM s ORDER BY n DESC, d LIMIT 1) SELECT a.event_id, b.id FROM a JOIN m ON true JOIN b ON a.pitch = b.pitch AND round(a.t + d, 3) = round(b.t, 3)")
+@Q.query("score_bridge", "WITH a AS (SELECT user_id, event_id, event_id % 12 AS pitch, value AS t FROM events), b AS (SELECT user_id, event_id AS point, event_id % 12 AS pitch, value + 2.5 AS t FROM events), s AS (SELECT user_id, round(b.t - a.t, 4) AS d, count(*) AS n FROM a JOIN b USING (user_id, pitch) GROUP BY ALL), m AS (SELECT user_id, arg_min(d, (-n, d)) AS d FROM s GROUP BY user_id) SELECT a.user_id, a.event_id, b.point FROM a JOIN m USING (user_id) JOIN b ON a.user_id = b.user_id AND a.pitch = b.pitch AND round(a.t + d, 3) = round(b.t, 3)")
 def score_bridge(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 120")
-    a = e.select("event_id", (F.col("event_id") % 12).alias("pitch"), F.col("value").alias("t"))
-    b = e.select(F.col("event_id").alias("id"), (F.col("event_id") % 12).alias("pitch"), (F.col("value") + 2.5).alias("u"))
-    shift = a.join(b, "pitch").groupBy(F.round(F.col("u") - F.col("t"), 4).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).select("d")
-    keyed = a.crossJoin(F.broadcast(shift)).withColumn("key", F.round(F.col("t") + F.col("d"), 3))  # one row
-    return keyed.join(b.withColumn("key", F.round("u", 3)), ["pitch", "key"]).select("event_id", "id")
+    e = table(spark, sf_dir, "events")
+    pitch = (F.col("event_id") % 12).alias("pitch")
+    score = e.select("user_id", F.col("event_id").alias("id"), pitch, F.col("value").alias("t"))
+    points = e.select("user_id", F.col("event_id").alias("point"), pitch, (F.col("value") + 2.5).alias("t"))
+    return A.score_bridge(score, points, "user_id").withColumnRenamed("id", "event_id")
+
+
+@Q.query("as_of_tolerance", f"WITH {EV} SELECT event_id, (SELECT e.event_id FROM ev e WHERE e.user_id = p.user_id AND e.event_type = 'error' AND e.t - 7200 < p.t ORDER BY e.t DESC, e.event_id DESC LIMIT 1) AS last_error FROM ev p WHERE event_type = 'purchase'")
+def as_of_tolerance(spark, sf_dir):
+    e = events(spark, sf_dir)
+    marks = e.where("event_type = 'error'").groupBy("user_id", "t").agg(F.max("event_id").alias("last_error"))
+    return A.as_of(e.where("event_type = 'purchase'").select("user_id", "t", "event_id"), marks, "user_id", "t", "last_error", strict=True, tolerance=7200).select("event_id", "last_error")

@@ -277,10 +277,22 @@ def planned_changes(spark, sf_dir):
     return X.planned_changes(current, desired, "id")
 
 
-@Q.query("exponential_moving_average")
+@Q.query("exponential_moving_average", "WITH l AS (SELECT user_id, list({'s': value, 'n': 0} ORDER BY event_id) AS v FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(v, lambda a, x: {'s': a.s - (1 - least(0.99::DOUBLE, (2 + a.n) / (11 + a.n)::DOUBLE)) * (a.s - x.s), 'n': a.n + 1}, {'s': v[1].s, 'n': 0}).s, 9) AS ema FROM l")
 def exponential_moving_average(spark, sf_dir):
     """shadow -= (1 - min(decay, (1 + n) / (10 + n))) * (shadow - value), over a user's events in order."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
     start = F.struct(F.get("v", F.lit(0)).alias("s"), F.lit(0).alias("n"))
     step = lambda a, x: F.struct((a["s"] - (1 - F.least(F.lit(0.99), (2 + a["n"]) / (11 + a["n"]))) * (a["s"] - x)).alias("s"), (a["n"] + 1).alias("n"))
     return e.select("user_id", F.round(F.aggregate("v", start, step)["s"], 9).alias("ema"))
+
+
+@Q.query("blank_share", "SELECT min(l) AS least, max(l) AS most, round(count(*) FILTER (WHERE l = 3) / count(*), 9) AS ratio FROM (SELECT l_linenumber AS l FROM lineitem)")
+def blank_share(spark, sf_dir):
+    tokens = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("x"))
+    return rounded(M.blank_share(tokens, "x", 3))
+
+
+@Q.query("clip_frame_metrics", "WITH f AS (SELECT user_id, event_type = 'click' AS p, value > 50 AS t FROM events), c AS (SELECT user_id, avg((p = t)::INT) AS a, sum((p AND t)::INT) AS h, sum(p::INT) AS s, sum(t::INT) AS n FROM f GROUP BY user_id) SELECT round(avg(a), 9) AS accuracy, round(avg(CASE WHEN s > 0 THEN h / s ELSE 0 END), 9) AS precision, round(avg(CASE WHEN n > 0 THEN h / n ELSE 0 END), 9) AS recall, round(avg(CASE WHEN s + n > 0 THEN 2 * h / (s + n) ELSE 0 END), 9) AS f1, count(*) AS n_clips FROM c")
+def clip_frame_metrics(spark, sf_dir):
+    frames = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "click").alias("p"), (F.col("value") > 50).alias("t"))
+    return rounded(M.mean_over_clips(frames, ["user_id"], "p", "t"))

@@ -59,9 +59,25 @@ def remaining_runs(spark, sf_dir):
     return P.remaining(P.parameter_grid(spark, ["a", "b"], ["x", "y"], list(range(13))), done).select("encoder", "task", F.col("layer").cast("long").alias("layer"))
 
 
-@Q.query("oracle_values", "SELECT 'n' AS metric, count(*)::DOUBLE AS got, 500.0::DOUBLE AS expected, abs(count(*) - 500) <= 1e6 AS ok FROM embeddings")
+@Q.query("oracle_values", "SELECT 'nations' AS metric, count(*)::DOUBLE AS got, 25.0::DOUBLE AS expected, count(*) = 25 AS ok FROM nation UNION ALL SELECT 'regions', count(DISTINCT n_regionkey)::DOUBLE, 5.0::DOUBLE, count(DISTINCT n_regionkey) = 5 FROM nation")
 def oracle_values(spark, sf_dir):
-    return P.check_values(table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n")), {"n": 500.0}, 1e6)
+    """Values that hold at every scale."""
+    found = table(spark, sf_dir, "nation").agg(F.count("*").alias("nations"), F.count_distinct("n_regionkey").alias("regions"))
+    return P.check_values(found, {"nations": 25.0, "regions": 5.0}, 0.0)
+
+
+@Q.query("valid_or_longest", "WITH d AS (SELECT doc_id, source, n_chars, n_chars BETWEEN 200 AND 400 AND lang = 'de' AS ok FROM documents), b AS (SELECT source, bool_or(coalesce(ok, false)) AS has, arg_max(doc_id, (n_chars, -doc_id)) AS best FROM d GROUP BY source) SELECT doc_id, n_chars FROM d JOIN b USING (source) WHERE coalesce(ok, false) OR NOT has AND doc_id = best")
+def valid_or_longest(spark, sf_dir):
+    valid = F.col("n_chars").between(200, 400) & (F.col("lang") == "de")
+    return P.keep_valid_or_longest(table(spark, sf_dir, "documents"), ["source"], valid, "n_chars", "doc_id").select("doc_id", "n_chars")
+
+
+@Q.query("best_by_lift", "SELECT p_type AS window, arg_max(p_size, (round(p_retailprice - p_size, 6), -p_size)) AS layer, round(max(p_retailprice - p_size), 6) AS lift FROM part GROUP BY p_type")
+def best_by_lift(spark, sf_dir):
+    from orpheon.operators.experiments import best_by
+
+    p = table(spark, sf_dir, "part").select(F.col("p_type").alias("window"), F.col("p_size").alias("layer"), F.round(F.col("p_retailprice") - F.col("p_size"), 6).alias("lift"))
+    return best_by(p, ["window"], "lift")
 
 
 @Q.query("bar_tallies", "SELECT CASE WHEN grouping(l_linestatus) = 1 THEN 'all' ELSE l_linestatus END AS staff, l_linenumber AS bar, sum((l_returnflag = 'R')::INT)::BIGINT AS motif, count(*) AS total FROM lineitem GROUP BY GROUPING SETS ((l_linenumber), (l_linenumber, l_linestatus))")
@@ -97,10 +113,13 @@ def mel_spectrogram(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", A.mel_spectrogram(F.col("embedding").cast("array<double>"), 100.0, 8, 16, 8).alias("mel"))
 
 
-@Q.query("fixed_linear_head", "SELECT vec_id, round(list_dot_product(list_transform(embedding[1:3], lambda x: x::DOUBLE), [1.0, -2.0, 0.5]::DOUBLE[]) + 0.25, 9) AS a, round(list_dot_product(list_transform(embedding[1:3], lambda x: x::DOUBLE), [0.0, 1.0, 1.0]::DOUBLE[]), 9) AS b FROM embeddings")
+@Q.query("fixed_linear_head", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (i % 3 - 1))) + 0.25, 7) AS a, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (i % 5))), 7) AS b FROM embeddings")
 def fixed_linear_head(spark, sf_dir):
-    out = B.fixed_linear(F.slice(F.col("embedding").cast("array<double>"), 1, 3), [[1.0, -2.0, 0.5], [0.0, 1.0, 1.0]], [0.25, 0.0])
-    return table(spark, sf_dir, "embeddings").select("vec_id", out.alias("o")).select("vec_id", F.round(F.col("o")[0], 9).alias("a"), F.round(F.col("o")[1], 9).alias("b"))
+    v = table(spark, sf_dir, "embeddings")
+    size = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    weights = [[float(i % 3 - 1) for i in range(1, size + 1)], [float(i % 5) for i in range(1, size + 1)]]
+    out = B.fixed_linear(F.col("embedding").cast("array<double>"), weights, [0.25, 0.0])
+    return v.select("vec_id", out.alias("o")).select("vec_id", F.round(F.col("o")[0], 7).alias("a"), F.round(F.col("o")[1], 7).alias("b"))
 
 
 @Q.query("linear_probe")
@@ -121,7 +140,7 @@ def regression_probe(spark, sf_dir):
 def per_layer_probes(spark, sf_dir):
     from orpheon.plans.retrieval_queries import _layers
 
-    rows = _layers(spark, sf_dir).cache()
+    rows = _layers(spark, sf_dir)
     return B.per_layer_heads(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), "layer", "v", "label", [0, 1, 2, 3])
 
 
@@ -151,10 +170,10 @@ def user_metric(spark, sf_dir):
     return spark.createDataFrame([(round(mean, 6),)], "mean double")
 
 
-@Q.query("user_encoder", "SELECT vec_id, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS best FROM embeddings")
+@Q.query("user_encoder", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings")
 def user_encoder(spark, sf_dir):
     def make():
-        return lambda batch: pd.DataFrame({"vec_id": batch["vec_id"], "out": [list(v[:10]) for v in batch["embedding"]]})
+        return lambda batch: pd.DataFrame({"vec_id": batch["vec_id"], "out": [list(v) for v in batch["embedding"]]})
 
     encoded = U.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), make, "vec_id long, out array<float>")
     return encoded.select("vec_id", argmax(F.col("out")).cast("long").alias("best"))
@@ -166,7 +185,8 @@ def key_vote(spark, sf_dir):
     return votes.groupBy("user_id").agg(F.max_by("k", F.struct("n", -F.col("k"))).alias("key"))
 
 
-@Q.query("pitch_classes", "SELECT DISTINCT name, pc FROM (SELECT unnest(['C', 'C#', 'Db', 'E', 'Fb', 'B#', 'Cb', 'G##']) AS name, unnest([0, 1, 1, 4, 4, 0, 11, 9]) AS pc)")
+@Q.query("pitch_classes", "SELECT p_partkey, ['C', 'C#', 'Db', 'E', 'Fb', 'B#', 'Cb', 'G##'][p_partkey % 8 + 1] AS name, [0, 1, 1, 4, 4, 0, 11, 9][p_partkey % 8 + 1] AS pc FROM part")
 def pitch_classes(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in ("C", "C#", "Db", "E", "Fb", "B#", "Cb", "G##")], "name string")
-    return names.select("name", M.pitch_class(F.col("name")).cast("int").alias("pc"))
+    names = F.array(*(F.lit(x) for x in ("C", "C#", "Db", "E", "Fb", "B#", "Cb", "G##")))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 8).cast("int")).alias("name"))
+    return p.select("p_partkey", "name", M.pitch_class(F.col("name")).cast("int").alias("pc"))

@@ -117,6 +117,14 @@ def score_histogram_auc(spark, sf_dir):
     return rounded(R.histogram_auc(R.score_histogram(_items(spark, sf_dir)), "rel", "distractor"))
 
 
+MEANS = "sum(CASE WHEN {0} THEN s END) / sum(CASE WHEN {0} THEN 1 END)"
+
+
+@Q.query("score_pool_means", f"WITH {POOLS} SELECT round({MEANS.format("qc = gc AND pool <> 'distractor'")}, 9) AS within, round({MEANS.format("qc <> gc AND pool = 'twin'")}, 9) AS twin, round({MEANS.format("qc <> gc AND pool = 'rel'")}, 9) AS honest, round({MEANS.format("qc <> gc AND pool = 'distractor'")}, 9) AS distractor FROM z")
+def score_pool_means(spark, sf_dir):
+    return rounded(R.pool_means(R.pool_moments(R.score_histogram(_items(spark, sf_dir)))))
+
+
 def _multilabel(spark, sf_dir):
     i = F.col("vec_id")
     letter = lambda k: F.concat(F.lit("L"), k.cast("string"))
@@ -139,7 +147,7 @@ SELECT round(avg(ap), 9) AS map, count(*) AS n_queries FROM a"""
 
 @Q.query("within_group_multilabel_map", MULTI)
 def within_group_multilabel_map(spark, sf_dir):
-    return rounded(R.map_of_ranked(R.multilabel_ranks(_multilabel(spark, sf_dir))))
+    return rounded(R.multilabel_map(_multilabel(spark, sf_dir)))
 
 
 @Q.query("within_group_permutation_null")

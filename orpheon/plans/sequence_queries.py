@@ -76,9 +76,9 @@ def _scores(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("X:1\nK:C\n"), body, F.lit("\n"), body).alias("abc"))
 
 
-@Q.query("patch_tokens")
+@Q.query("patch_tokens", "SELECT p_partkey, 8 AS n, ['X:1' || chr(10), 'K:C' || chr(10), '|: ' || string_split(p_name, ' ')[1] || ' |', ' ' || string_split(p_name, ' ')[-1] || ' ||', ' z2 :|' || chr(10), '|: ' || string_split(p_name, ' ')[1] || ' |', ' ' || string_split(p_name, ' ')[-1] || ' ||', ' z2 :|' || chr(10)] AS texts FROM part")
 def patch_tokens(spark, sf_dir):
-    return _scores(spark, sf_dir).select("p_partkey", K.tokenise(F.col("abc"), 32).alias("patches")).select("p_partkey", F.size("patches").alias("n"), F.transform("patches", K.patch_text).alias("texts"))
+    return _scores(spark, sf_dir).select("p_partkey", K.tokenise(F.col("abc"), most=None).alias("patches")).select("p_partkey", F.size("patches").alias("n"), F.transform("patches", K.patch_text).alias("texts"))
 
 
 @Q.query("bar_slices", "SELECT p_partkey, 'X:1' || chr(10) || 'K:C' || chr(10) || '|: ' || string_split(p_name, ' ')[1] || ' | ' || string_split(p_name, ' ')[-1] || ' || z2 :|' AS slice FROM part")
