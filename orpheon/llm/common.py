@@ -27,13 +27,19 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; one of our own only where it is unset and all runs on this machine, as in tests."""
+    context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="orpheon-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
+        known = context._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            path = known.get()
+        elif context.master.startswith("local"):
+            path = tempfile.mkdtemp(prefix="orpheon-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(path)
     return path
 
 
@@ -48,12 +54,19 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 _STORED: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what stored() wrote in this session; frames that still read it become invalid."""
+def written() -> int:
+    """How many tables stored() has written and release() not yet deleted."""
+    return len(_STORED)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete what stored() wrote in this session, from table number `since` on but for the last `but`; frames that still
+    read it become invalid."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _STORED:
-        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+    for name in _STORED[since : len(_STORED) - but]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        _STORED.remove(name)
 
 
 def id_crc(column: str = "doc_id") -> Column:
