@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orpheon.llm.common import stored, table
+from orpheon.llm.common import release, stored, table, written
 from orpheon.llm.decontaminate import decontamination_stage
 from orpheon.llm.language_id import language_stage
 from orpheon.llm.line_dedup import line_stage
@@ -25,7 +25,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage wrote is deleted once its successor's documents are written."""
+    docs, first = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = stored(spark, stage(spark, docs, sf_dir), name)
+        release(spark, since=first, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
