@@ -95,7 +95,7 @@ def scan_contexts(docs: DataFrame, length: int) -> DataFrame:
             data, ends = text_buffers(batch.column(2))
             start = 0
             for i in range(len(batch)):
-                if ends[i + 1] - ends[start] > 2 << 20 or i + 1 == len(batch):
+                if ends[i + 1] - ends[start] > 1 << 20 or i + 1 == len(batch):
                     part, at = data[ends[start] : ends[i + 1]], ends[start : i + 2] - ends[start]
                     text, anchor, first, last = contexts(part, at, length)
                     raw = memoryview(part)
