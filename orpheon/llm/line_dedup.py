@@ -203,13 +203,13 @@ def scan_keys(docs: DataFrame, edits: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, line long, marks long")
 
 
-def _close(line: np.ndarray, marks: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (smaller line, larger line) whose signatures are at most `most` bits apart. line: sorted and distinct."""
-    for first in range(0, len(line), 256):
+def _close(marks: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (first, later) of pairs of signatures that are at most `most` bits apart."""
+    for first in range(0, len(marks), 256):
         x, y = np.nonzero(_apart(marks[first : first + 256, None], marks[None, first:]) <= most)
         later = y > x
         if later.any():
-            yield line[first + x[later]], line[first + y[later]]
+            yield first + x[later], first + y[later]
 
 
 def _set_values(marks: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -239,16 +239,22 @@ def meet(keys: DataFrame, edits: int, crowd: int | None, refine: bool = False) -
         line, which = np.unique(line, return_index=True)
         marks = marks[which]
         if len(line) <= FEW:
-            for a, b in _close(line, marks, 4 * edits):
-                yield found(a, b)
+            for a, b in _close(marks, 4 * edits):
+                yield found(line[a], line[b])
             return
-        for low, high in sets:
+        for s, (low, high) in enumerate(sets):
             value = _set_values(marks, low, high)
             order = np.argsort(value, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
                 if len(at) > 1:
-                    for a, b in _close(line[at], marks[at], 4 * edits):
-                        yield found(a, b)
+                    for a, b in _close(marks[at], 4 * edits):
+                        a, b = at[a], at[b]
+                        differ = marks[a] ^ marks[b]
+                        new = np.ones(len(a), bool)  # a pair counts in the first set that it has in common
+                        for before in sets[:s]:
+                            new &= _set_values(differ, *before) != 0
+                        if new.any():
+                            yield found(line[a[new]], line[b[new]])
 
     def pairs(key: np.ndarray, line: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
