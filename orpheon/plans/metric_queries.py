@@ -149,12 +149,32 @@ def _event_lists(spark, sf_dir):
     return e.groupBy("user_id").agg(pick("click").alias("est"), pick("view").alias("ref"))
 
 
-@Q.query("event_f_measure")
+def _matches_sql(tol: float, name: str) -> str:
+    """CTE text: user_id and n, the most one-to-one pairs of l.est and l.ref within tol, by walking both in order."""
+    near = f"abs(a[i] - b[j]) <= {tol}::DOUBLE"
+    return f"""{name}(user_id, i, j, n, a, b) AS (SELECT user_id, 1, 1, 0, est, ref FROM l UNION ALL SELECT user_id, CASE WHEN {near} OR a[i] < b[j] THEN i + 1 ELSE i END, CASE WHEN {near} OR a[i] >= b[j] THEN j + 1 ELSE j END, n + ({near})::INT, a, b FROM {name} WHERE i <= len(a) AND j <= len(b))"""
+
+
+EVENT_LISTS = "l AS (SELECT user_id, coalesce(list(epoch_us(ts) / 3.6e9::DOUBLE ORDER BY ts) FILTER (WHERE event_type = 'click'), []) AS est, coalesce(list(epoch_us(ts) / 3.6e9::DOUBLE ORDER BY ts) FILTER (WHERE event_type = 'view'), []) AS ref FROM events GROUP BY user_id)"
+
+
+@Q.query("event_f_measure", f"WITH RECURSIVE {EVENT_LISTS}, {_matches_sql(3.0, 'r')}, m AS (SELECT user_id, max(n) AS n FROM r GROUP BY user_id), s AS (SELECT sum(m.n)::BIGINT AS matched, sum(len(est))::BIGINT AS n_est, sum(len(ref))::BIGINT AS n_ref FROM l JOIN m USING (user_id)) SELECT *, CASE WHEN n_est + n_ref = 0 THEN 1.0 ELSE 2 * matched / (n_est + n_ref) END::DOUBLE AS f1 FROM s")
 def event_f_measure(spark, sf_dir):
     return M.event_f_measure(_event_lists(spark, sf_dir), "est", "ref", 3.0)
 
 
-@Q.query("boundary_metrics")
+def _boundary_sql() -> str:
+    cols = []
+    for k, m in enumerate(("x", "y")):
+        both, p, r = "len(ref) = 0 AND len(est) = 0", f"{m}.n / len(est)", f"{m}.n / len(ref)"
+        p = f"CASE WHEN {both} THEN 1.0 WHEN len(est) = 0 THEN 0.0 ELSE {p} END"
+        r = f"CASE WHEN {both} THEN 1.0 WHEN len(ref) = 0 THEN 0.0 ELSE {r} END"
+        cols.append(f"round({p}, 9)::DOUBLE AS p_{k}, round({r}, 9)::DOUBLE AS r_{k}, round(CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END, 9)::DOUBLE AS f_{k}")
+    gap = "CASE WHEN len(ref) > 0 AND len(est) > 0 THEN list_median(list_transform(ref, lambda t: list_min(list_transform(est, lambda e: abs(e - t))))) END"
+    return f"WITH RECURSIVE {EVENT_LISTS}, {_matches_sql(2.0, 'r')}, {_matches_sql(12.0, 'q')}, x AS (SELECT user_id, max(n) AS n FROM r GROUP BY user_id), y AS (SELECT user_id, max(n) AS n FROM q GROUP BY user_id) SELECT l.user_id, {', '.join(cols)}, round({gap}, 9) AS median_gap FROM l JOIN x USING (user_id) JOIN y USING (user_id)"
+
+
+@Q.query("boundary_metrics", _boundary_sql())
 def boundary_metrics(spark, sf_dir):
     return rounded(M.boundary_metrics(_event_lists(spark, sf_dir), "user_id", "ref", "est", (2.0, 12.0)))
 
@@ -172,7 +192,8 @@ def pairwise_frame_f(spark, sf_dir):
     return rounded(M.pairwise_f(e, ["user_id"], "event_type", "e"))
 
 
-@Q.query("word_error_rate")
+#: What is left of a text is a part of it in order, so the edits are the words left out.
+@Q.query("word_error_rate", "WITH w AS (SELECT len(string_split_regex(lower(text), '\\s+')) AS n FROM benchmark) SELECT sum((n + 3) // 7)::BIGINT AS edits, sum(n)::BIGINT AS tokens, round(sum((n + 3) // 7) / sum(n), 9) AS rate FROM w")
 def word_error_rate(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.split(F.lower("text"), r"\s+").alias("ref"))
     return rounded(M.error_rate(b.withColumn("hyp", F.filter("ref", lambda w, i: i % 7 != 3)), "ref", "hyp"))
