@@ -273,7 +273,8 @@ def expand_sized(forms: DataFrame, length: int, block: int, crowd: int, level: i
     A window that is dealt out by its own hash meets only its equals, which are one context, so it is no crowd."""
     spark = forms.sparkSession
     sizes = forms.groupBy("anchor").agg(F.sum("size").alias("all")).where(F.col("all") > crowd).select("anchor")
-    hot = sizes.checkpoint() if level < LEVELS else None
+    # Stored, so that its size is known: a short list goes to the contexts, which else would be dealt out by anchor here.
+    hot = stored(spark, sizes, "hot") if level < LEVELS else None
     if hot is None or hot.isEmpty():
         return stored(spark, expand_contexts(forms, length, block).where("size(spans) > 0"), "expanded")
     found = expand_contexts(forms.join(hot, "anchor", "left_anti"), length, block).where("size(spans) > 0")
