@@ -8,10 +8,10 @@ A line s is cut into one segment more than its edits, all about as long. If a li
 s, some segment of s stands in t, starting at most a few bytes away from its own place; which places come into question
 follows from the segment's number and the difference in length (multi-match-aware selection). Each line is indexed by
 its segments under its own length, and probes the lengths down to its edits less with those few substrings. Lines that
-meet under a key are first compared by a signature, 64 bits that say of which classes of byte pairs a line has an odd
+meet under a key are first compared by a signature, 60 bits that say of which classes of byte pairs a line has an odd
 number; an edit changes four at most. What is left is verified by a banded bit-parallel edit distance.
 
-The 64 bits fall into 4 * edits + 1 sets, of which one at least is unchanged between linked lines. So the lines of a
+The 60 bits fall into 4 * edits + 1 sets, of which one at least is unchanged between linked lines. So the lines of a
 larger key are compared within equal values of each set in turn, with no loss; a key with more than `crowd` lines is
 dealt out again by those values, and what is still a crowd is cut into blocks of about crowd / 2 lines, of which every
 two meet in a task of their own. So no task holds more than about `crowd` lines of a key, and only pairs that the
@@ -83,25 +83,33 @@ def plan_of(size: int, edits: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def signatures(lines: list[bytes]) -> np.ndarray:
-    """64 bits for each line: of which classes of pairs of neighbouring bytes it has an odd number."""
+#: Bits of a signature; above them stand the line's own edits.
+BITS = 60
+_BITS = np.uint64((1 << BITS) - 1)
+
+
+def signatures(lines: list[bytes], edits: int = EDITS) -> np.ndarray:
+    """60 bits for each line, of which classes of pairs of neighbouring bytes it has an odd number, and its edits_of()."""
     sizes = np.array([len(x) for x in lines], np.int64)
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64)
     after = np.concatenate([data[1:], data[:1]])
-    bit = np.uint64(1) << (((data << np.uint64(8) | after) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+    spread = ((data << np.uint64(8) | after) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    bit = np.uint64(1) << (spread * np.uint64(BITS) >> np.uint64(32))
     bit[starts + sizes - 1] = 0  # a line's last byte has no neighbour
-    return np.bitwise_xor.reduceat(bit, starts)
+    own = np.minimum(edits, sizes // SHORT).astype(np.uint64)
+    return np.bitwise_xor.reduceat(bit, starts) | own << np.uint64(BITS)
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+def _may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the signatures (broadcast together) allow a link: four bits for each edit of the shorter line."""
+    return np.bitwise_count((a ^ b) & _BITS) <= 4 * (np.minimum(a, b) >> np.uint64(BITS))
 
 
 def sets_of(edits: int) -> list[tuple[int, int]]:
     """(first bit, end) of the sets of which linked lines have one in common: more than the bits that edits change."""
     n = 4 * edits + 1
-    return [(64 * k // n, 64 * (k + 1) // n) for k in range(n)]
+    return [(BITS * k // n, BITS * (k + 1) // n) for k in range(n)]
 
 
 def edit_distance(a: bytes, b: bytes, most: int) -> int:
@@ -198,15 +206,15 @@ def scan_keys(docs: DataFrame, edits: int) -> DataFrame:
                     keys += [xxhash.xxh3_64_intdigest(x[a:b], s) for s, a, b in plan]
                     n.append(len(plan))
                 ids = np.array([xxhash.xxh64_intdigest(h, 42) for h in hashes[first : first + 4096]], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(signatures(part).view(np.int64), n))], ["key", "line", "marks"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(signatures(part, edits).view(np.int64), n))], ["key", "line", "marks"])
 
     return docs.select("text").mapInArrow(run, "key long, line long, marks long")
 
 
-def _close(marks: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (first, later) of pairs of signatures that are at most `most` bits apart."""
+def _close(marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (first, later) of pairs whose signatures allow a link."""
     for first in range(0, len(marks), 256):
-        x, y = np.nonzero(_apart(marks[first : first + 256, None], marks[None, first:]) <= most)
+        x, y = np.nonzero(_may(marks[first : first + 256, None], marks[None, first:]))
         later = y > x
         if later.any():
             yield first + x[later], first + y[later]
@@ -239,7 +247,7 @@ def meet(keys: DataFrame, edits: int, crowd: int | None, refine: bool = False) -
         line, which = np.unique(line, return_index=True)
         marks = marks[which]
         if len(line) <= FEW:
-            for a, b in _close(marks, 4 * edits):
+            for a, b in _close(marks):
                 yield found(line[a], line[b])
             return
         for s, (low, high) in enumerate(sets):
@@ -247,7 +255,7 @@ def meet(keys: DataFrame, edits: int, crowd: int | None, refine: bool = False) -
             order = np.argsort(value, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
                 if len(at) > 1:
-                    for a, b in _close(marks[at], 4 * edits):
+                    for a, b in _close(marks[at]):
                         a, b = at[a], at[b]
                         differ = marks[a] ^ marks[b]
                         new = np.ones(len(a), bool)  # a pair counts in the first set that it has in common
@@ -260,7 +268,7 @@ def meet(keys: DataFrame, edits: int, crowd: int | None, refine: bool = False) -
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[begin, len(key)])
         two = begin[size == 2]  # most groups that matter
-        two = two[(line[two] != line[two + 1]) & (_apart(marks[two], marks[two + 1]) <= 4 * edits)] if len(two) else two
+        two = two[(line[two] != line[two + 1]) & _may(marks[two], marks[two + 1])] if len(two) else two
         if len(two):
             yield found(np.minimum(line[two], line[two + 1]), np.maximum(line[two], line[two + 1]))
         for k in np.flatnonzero(size > 2).tolist():
