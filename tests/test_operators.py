@@ -331,3 +331,20 @@ def test_piece_files(spark, tmp_path):
     (tmp_path / "a" / "00001.json").write_text('{"Function": [{"Function": "A", "BarRange": [1, 4]}, {"Function": "?", "BarRange": [5, 8]}, {"Function": "A", "BarRange": [9, 9]}, {"Function": "A", "BarRange": [1]}]}')
     (tmp_path / "a" / "00002.json").write_text("no json")
     assert [tuple(r) for r in readers.function_annotations(spark, str(tmp_path / "a"), {"A": "verse"}).collect()] == [("00001.json", 1, 4, "verse")]
+
+
+def test_small_tiles_give_the_same_set_valued_ranks(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)], k % 3, rng.sample("abcd", rng.randrange(3)), [f"o{k // 4}"]) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, grp long, letters array<string>, occ_ids array<string>")
+    whole, tiled = (retrieval.multilabel_map(df, tile=t).first() for t in (4096, 4))
+    assert whole.n_queries == tiled.n_queries > 10 and whole.map == pytest.approx(tiled.map)
+    aps = []
+    for q in rows:
+        gallery = [g for g in rows if g[2] == q[2] and g[0] != q[0] and not set(g[4]) & set(q[4])]
+        unit = lambda v: np.array(v) / np.linalg.norm(v)
+        order = sorted(gallery, key=lambda g: (-round(float(unit(q[1]) @ unit(g[1])), 12), g[0]))
+        hits = [k for k, g in enumerate(order, 1) if set(g[3]) & set(q[3])]
+        if hits:
+            aps.append(sum((n + 1) / k for n, k in enumerate(hits)) / len(hits))
+    assert whole.n_queries == len(aps) and whole.map == pytest.approx(sum(aps) / len(aps))
